@@ -72,6 +72,20 @@ def period_key(ts, split_type: str, n: int) -> Column:
     )
 
 
+def period_dates(ts, split_type: str, n: int) -> tuple[Column, Column]:
+    """(first day, last day) of the window holding ``ts``, from the unit numbers."""
+    s = check_split(split_type, n)
+    start, end = period_bounds(ts, s, n)
+    if s == "year":
+        return F.make_date(start, F.lit(1), F.lit(1)), F.make_date(end, F.lit(12), F.lit(31))
+    if s == "month":
+        def first(u):
+            return F.make_date(F.floor(u / 12).cast("int"), (F.pmod(u, F.lit(12)) + 1).cast("int"), F.lit(1))
+        return first(start), F.last_day(first(end))
+    epoch = F.to_date(F.lit(EPOCH))
+    return F.date_add(epoch, start), F.date_add(epoch, end)
+
+
 _YEAR_RE = r"^(\d+)_(\d+)$"
 _MONTH_RE = r"^(\d+)-(\d{1,2})_(\d+)-(\d{1,2})$"
 _DAY_RE = r"^(\d+)-(\d{1,2})-(\d{1,2})_(\d+)-(\d{1,2})-(\d{1,2})$"
@@ -82,7 +96,7 @@ def strip_extension(col) -> Column:
 
 
 def _grp(label: Column, pattern: str, i: int) -> Column:
-    return F.try_cast(F.regexp_extract(label, pattern, i), "int")
+    return F.regexp_extract(label, pattern, i).try_cast("int")
 
 
 def split_type_of(label) -> Column:
@@ -99,26 +113,37 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
+_ANY_RE = r"^\d+(-\d{1,2}(-\d{1,2})?)?_\d+(-\d{1,2}(-\d{1,2})?)?$"
+
+
 def parse_period(label) -> Column:
     """Window label -> struct(split_type, start DATE, end DATE); null if unrecognised.
 
     ``end`` is the last day of the last unit, so windows compare as date ranges.
+    One regex check, then plain splits (cheap per row).
     """
     lab = strip_extension(label)
-    kind = split_type_of(lab)
-    start = (
-        F.when(kind == "year", _date(_grp(lab, _YEAR_RE, 1), F.lit(1), F.lit(1)))
-        .when(kind == "month", _date(_grp(lab, _MONTH_RE, 1), _grp(lab, _MONTH_RE, 2), F.lit(1)))
-        .when(kind == "day", _date(_grp(lab, _DAY_RE, 1), _grp(lab, _DAY_RE, 2), _grp(lab, _DAY_RE, 3)))
-    )
-    end = (
-        F.when(kind == "year", _date(_grp(lab, _YEAR_RE, 2), F.lit(12), F.lit(31)))
-        .when(kind == "month", F.last_day(_date(_grp(lab, _MONTH_RE, 3), _grp(lab, _MONTH_RE, 4), F.lit(1))))
-        .when(kind == "day", _date(_grp(lab, _DAY_RE, 4), _grp(lab, _DAY_RE, 5), _grp(lab, _DAY_RE, 6)))
-    )
+    halves = F.split(lab, "_")
+    a = F.split(F.get(halves, 0), "-")
+    b = F.split(F.get(halves, 1), "-")
+    n = F.size(a)
+    ok = lab.rlike(_ANY_RE) & (n == F.size(b))
+
+    def part(arr, i):
+        return F.get(arr, i).try_cast("int")
+
+    kind = F.when(ok, F.element_at(F.array(F.lit("year"), F.lit("month"), F.lit("day")), n))
+    start = F.when(ok, _date(part(a, 0), F.coalesce(part(a, 1), F.lit(1)), F.coalesce(part(a, 2), F.lit(1))))
+    end_first = _date(part(b, 0), F.coalesce(part(b, 1), F.lit(12)), F.coalesce(part(b, 2), F.lit(1)))
+    end = F.when(ok, F.when(n == 3, end_first).otherwise(F.last_day(end_first)))
     return F.struct(kind.alias("split_type"), start.alias("start"), end.alias("end"))
 
 
+def with_parsed_period(df, period_col: str = "period", out: str = "_period"):
+    """Add the parsed period once as a struct column (referenced many times later)."""
+    return df.withColumn(out, parse_period(period_col))
+
+
 def format_period(label) -> Column:
     """Printable range: ``2000-2001``, ``2000-01 to 2000-03``, ``2000-01-01 to 2000-01-07``."""
     p = parse_period(label)
@@ -149,7 +174,7 @@ def align_period(label, range_size: int) -> Column:
 
 def period_year(period) -> Column:
     """First four consecutive digits of a period label as an int."""
-    return F.try_cast(F.regexp_extract(_c(period), r"(\d{4})", 1), "int")
+    return F.regexp_extract(_c(period), r"(\d{4})", 1).try_cast("int")
 
 
 # Window label shapes the performance timeline understands.  The first four

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmon.functions.dates import coerce_date, parse_wall_clock
-from driftmon.functions.periods import check_split, parse_period, period_key
+from driftmon.functions.periods import check_split, parse_period, period_dates, period_key
 from driftmon.functions.text import build_text
 
 
@@ -35,11 +35,14 @@ def create_time_windows(df: DataFrame, split_type: str, range_size: int, date_co
             raise ValueError("unparseable date in input")
     elif on_bad_date != "drop":
         raise ValueError("on_bad_date must be 'drop' or 'fail'")
+    first, last = period_dates(F.col(date_col), s, range_size)
     return (
         out.where(F.col(date_col).isNotNull())
         .withColumn("split_type", F.lit(s))
         .withColumn("range", F.lit(int(range_size)))
         .withColumn("period", period_key(F.col(date_col), s, range_size))
+        .withColumn("period_start", first)
+        .withColumn("period_end", last)
     )
 
 
@@ -62,21 +65,26 @@ def target_window(split_type: str, start_year: int, end_year: int, start_month:
     return dt.date(start_year, start_month, start_day), dt.date(end_year, end_month, end_day)
 
 
-def _bounds(period_col: str) -> tuple[Column, Column]:
-    p = parse_period(period_col)
-    return p.start, p.end
+def _where_bounds(df: DataFrame, period_col: str, cond) -> DataFrame:
+    """Filter on the parsed (start, end) of the period, parsed once per row.
+
+    On a partitioned window table ``period`` is a partition column, so the
+    whole predicate is a partition filter and prunes folders before any read.
+    """
+    if "period_start" in df.columns and "period_end" in df.columns:
+        return df.where(cond(F.col("period_start"), F.col("period_end")))
+    tmp = df.withColumn("_period", parse_period(period_col))
+    return tmp.where(cond(F.col("_period.start"), F.col("_period.end"))).drop("_period")
 
 
 def train_windows(df: DataFrame, target: tuple[dt.date, dt.date], period_col: str = "period") -> DataFrame:
     """Windows overlapping the train range."""
-    ws, we = _bounds(period_col)
-    return df.where((ws <= F.lit(target[1])) & (we >= F.lit(target[0])))
+    return _where_bounds(df, period_col, lambda ws, we: (ws <= F.lit(target[1])) & (we >= F.lit(target[0])))
 
 
 def exact_window(df: DataFrame, target: tuple[dt.date, dt.date], period_col: str = "period") -> DataFrame:
     """The window equal to the target in start and end."""
-    ws, we = _bounds(period_col)
-    return df.where((ws == F.lit(target[0])) & (we == F.lit(target[1])))
+    return _where_bounds(df, period_col, lambda ws, we: (ws == F.lit(target[0])) & (we == F.lit(target[1])))
 
 
 def test_windows(df: DataFrame, target: tuple[dt.date, dt.date], split_type: str,
@@ -89,13 +97,12 @@ def test_windows(df: DataFrame, target: tuple[dt.date, dt.date], split_type: str
     it is strict too (the original selected nothing there).
     """
     s = check_split(split_type, 1)
-    ws, _ = _bounds(period_col)
     end = target[1]
-    if rule == "evaluation" and s == "month":
-        return df.where(ws >= F.lit(end.replace(day=1)))
     if rule not in ("similarity", "evaluation"):
         raise ValueError("rule must be 'similarity' or 'evaluation'")
-    return df.where(ws > F.lit(end))
+    if rule == "evaluation" and s == "month":
+        return _where_bounds(df, period_col, lambda ws, we: ws >= F.lit(end.replace(day=1)))
+    return _where_bounds(df, period_col, lambda ws, we: ws > F.lit(end))
 
 
 def train_windows_by_key(df: DataFrame, ranges: DataFrame, keys=("project",),
@@ -105,15 +112,15 @@ def train_windows_by_key(df: DataFrame, ranges: DataFrame, keys=("project",),
     ``ranges`` is one row per key (built from arguments, so its size is
     bounded); the join is an equi-join on the keys with the overlap as condition.
     """
-    ws, we = _bounds(period_col)
     r = F.broadcast(ranges.select(*keys, "train_start", "train_end"))
-    return df.join(r, list(keys)).where((ws <= F.col("train_end")) & (we >= F.col("train_start")))
+    tmp = df.withColumn("_period", parse_period(period_col)).join(r, list(keys))
+    return tmp.where((F.col("_period.start") <= F.col("train_end"))
+                     & (F.col("_period.end") >= F.col("train_start"))).drop("_period")
 
 
 def sort_periods(df: DataFrame, period_col: str = "period") -> DataFrame:
     """Chronological order of windows."""
-    ws, _ = _bounds(period_col)
-    return df.orderBy(ws, F.col(period_col))
+    return df.orderBy(parse_period(period_col).start, F.col(period_col))
 
 
 def filter_label_set(df: DataFrame, labels, label_col: str = "label") -> DataFrame:

@@ -86,3 +86,41 @@ def windowed_issues(split_type: str, n: int) -> str:
 SELECT project, title, body, label, {ts} AS date, {period_key(ts, split_type, n)} AS period
 FROM ({MAPPED_ISSUES}) m WHERE {ts} IS NOT NULL
 """
+
+
+YEAR_RE = r"^(\d+)_(\d+)$"
+MONTH_RE = r"^(\d+)-(\d{1,2})_(\d+)-(\d{1,2})$"
+DAY_RE = r"^(\d+)-(\d{1,2})-(\d{1,2})_(\d+)-(\d{1,2})-(\d{1,2})$"
+
+
+def _g(x: str, pattern: str, i: int) -> str:
+    return f"TRY_CAST(regexp_extract({x}, {q(pattern)}, {i}) AS INTEGER)"
+
+
+def split_type_of(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches({x}, {q(YEAR_RE)}) THEN 'year' "
+            f"WHEN regexp_matches({x}, {q(MONTH_RE)}) THEN 'month' "
+            f"WHEN regexp_matches({x}, {q(DAY_RE)}) THEN 'day' END)")
+
+
+def period_start(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches({x}, {q(YEAR_RE)}) THEN make_date({_g(x, YEAR_RE, 1)}, 1, 1) "
+            f"WHEN regexp_matches({x}, {q(MONTH_RE)}) THEN make_date({_g(x, MONTH_RE, 1)}, {_g(x, MONTH_RE, 2)}, 1) "
+            f"WHEN regexp_matches({x}, {q(DAY_RE)}) THEN make_date({_g(x, DAY_RE, 1)}, {_g(x, DAY_RE, 2)}, {_g(x, DAY_RE, 3)}) END)")
+
+
+def period_end(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches({x}, {q(YEAR_RE)}) THEN make_date({_g(x, YEAR_RE, 2)}, 12, 31) "
+            f"WHEN regexp_matches({x}, {q(MONTH_RE)}) THEN last_day(make_date({_g(x, MONTH_RE, 3)}, {_g(x, MONTH_RE, 4)}, 1)) "
+            f"WHEN regexp_matches({x}, {q(DAY_RE)}) THEN make_date({_g(x, DAY_RE, 4)}, {_g(x, DAY_RE, 5)}, {_g(x, DAY_RE, 6)}) END)")
+
+
+def windowed_by_month() -> str:
+    return windowed_issues("month", 1)
+
+
+WHITESPACE_RE2 = r"^[\t\n\x0B\f\r\x{85}\p{Z}]+|[\t\n\x0B\f\r\x{85}\p{Z}]+$"
+
+
+def normalise_text(x: str) -> str:
+    return f"coalesce(regexp_replace({x}, {q(WHITESPACE_RE2)}, '', 'g'), '')"
