@@ -179,36 +179,40 @@ def period_year(period) -> Column:
 
 # Window label shapes the performance timeline understands.  The first four
 # are the historical report-file spellings; the last two are what the window
-# builder writes for year and day windows.
-_INFO_PATTERNS = [
-    (r"^(\d{4})-(\d{4})$", ("y1", "c1", "c1", "y2", "c12", "c31")),
-    (r"^(\d{4})-(\d{1,2})_(\d{4})-(\d{1,2})$", ("y1", "m2", "c1", "y3", "m4", None)),
-    (r"^(\d{4})_(\d{2})-(\d{4})_(\d{2})$", ("y1", "m2", "c1", "y3", "m4", None)),
-    (r"^(\d{4})_(\d{2})_(\d{2})-(\d{4})_(\d{2})_(\d{2})$", ("y1", "m2", "d3", "y4", "m5", "d6")),
-    (r"^(\d{4})_(\d{4})$", ("y1", "c1", "c1", "y2", "c12", "c31")),
-    (r"^(\d{4})-(\d{2})-(\d{2})_(\d{4})-(\d{2})-(\d{2})$", ("y1", "m2", "d3", "y4", "m5", "d6")),
+# builder writes for year and day windows.  Two numbers are a year range,
+# four a month range, six a day range.
+INFO_PATTERNS = [
+    r"^(\d{4})-(\d{4})$",
+    r"^(\d{4})-(\d{1,2})_(\d{4})-(\d{1,2})$",
+    r"^(\d{4})_(\d{2})-(\d{4})_(\d{2})$",
+    r"^(\d{4})_(\d{2})_(\d{2})-(\d{4})_(\d{2})_(\d{2})$",
+    r"^(\d{4})_(\d{4})$",
+    r"^(\d{4})-(\d{2})-(\d{2})_(\d{4})-(\d{2})-(\d{2})$",
 ]
-_INFO_FIELDS = ("start_year", "start_month", "start_day", "end_year", "end_month", "end_day")
+INFO_FIELDS = ("start_year", "start_month", "start_day", "end_year", "end_month", "end_day")
 
 
 def extract_date_info(label) -> Column:
     """Window label -> struct of six date parts (end_day may be null); null if no shape matches."""
     lab = strip_extension(label)
-    parts = {f: None for f in _INFO_FIELDS}
-    matched = None
-    for pattern, spec in _INFO_PATTERNS:
-        cond = lab.rlike(pattern)
-        matched = F.when(cond, F.lit(True)) if matched is None else matched.when(cond, F.lit(True))
-        for field, src in zip(_INFO_FIELDS, spec):
-            if src is None:
-                value = F.lit(None).cast("int")
-            elif src.startswith("c"):
-                value = F.lit(int(src[1:]))
-            else:
-                value = _grp(lab, pattern, int(src[1:]))
-            parts[field] = F.when(cond, value) if parts[field] is None else parts[field].when(cond, value)
-    info = F.struct(*[parts[f].alias(f) for f in _INFO_FIELDS])
-    return F.when(matched.isNotNull(), info)
+    shape = "|".join(f"(?:{p})" for p in INFO_PATTERNS)
+    nums = F.transform(F.regexp_extract_all(lab, F.lit(r"(\d+)"), 1), lambda x: x.cast("int"))
+    n = F.size(nums)
+
+    def at(i):
+        return F.get(nums, i)
+
+    one, twelve = F.lit(1), F.lit(12)
+    by_size = {
+        2: (at(0), one, one, at(1), twelve, F.lit(31)),
+        4: (at(0), at(1), one, at(2), at(3), F.lit(None).cast("int")),
+        6: (at(0), at(1), at(2), at(3), at(4), at(5)),
+    }
+    fields = []
+    for k, name in enumerate(INFO_FIELDS):
+        v = F.when(n == 2, by_size[2][k]).when(n == 4, by_size[4][k]).when(n == 6, by_size[6][k])
+        fields.append(v.cast("int").alias(name))
+    return F.when(lab.rlike(shape), F.struct(*fields))
 
 
 def _ts(y, m, d) -> Column:

@@ -111,9 +111,13 @@ def q_model_frame(spark, sf_dir):
 
 
 def _info_sql(x: str) -> dict:
-    fields = {f: [] for f in P._INFO_FIELDS}
-    for pattern, spec in P._INFO_PATTERNS:
-        for field, src in zip(P._INFO_FIELDS, spec):
+    """DuckDB: the six date parts of a window label, one CASE per part and shape."""
+    specs = [("y1", "c1", "c1", "y2", "c12", "c31"), ("y1", "m2", "c1", "y3", "m4", None),
+             ("y1", "m2", "c1", "y3", "m4", None), ("y1", "m2", "d3", "y4", "m5", "d6"),
+             ("y1", "c1", "c1", "y2", "c12", "c31"), ("y1", "m2", "d3", "y4", "m5", "d6")]
+    fields = {f: [] for f in P.INFO_FIELDS}
+    for pattern, spec in zip(P.INFO_PATTERNS, specs):
+        for field, src in zip(P.INFO_FIELDS, spec):
             if src is None:
                 v = "NULL"
             elif src.startswith("c"):
