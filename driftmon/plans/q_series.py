@@ -1 +1,172 @@
-"""Queries (filled in below)."""
+"""Queries: similarity vs quality series, deltas, scaling, correlation, normality, DTW."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftmon.functions.periods import period_year
+from driftmon.operators import dtw as D
+from driftmon.operators import report as R
+from driftmon.operators import series as SE
+from driftmon.operators import similarity as SIM
+from driftmon.operators import stats as ST
+from driftmon.plans.catalog import query
+from driftmon.plans.q_reports import REPORT_SQL
+from driftmon.plans.q_similarity import _per_row_sql, split_vectors
+from driftmon.plans.rounding import r, rounded
+from driftmon.sources import fixtures
+from driftmon.sources.fixtures import with_views
+
+
+def macro_f1(spark, sf_dir):
+    return R.macro_f1_series(R.report_by_window(fixtures.predictions(spark, sf_dir)))
+
+
+def paired(spark, sf_dir):
+    """Similarity (mean mode) per test window joined with macro F1 per window."""
+    test, train = split_vectors(spark, sf_dir)
+    sim = SIM.similarity_by_period(test, train, "mean", include_distribution=False)
+    return SE.join_similarity_performance(sim, macro_f1(spark, sf_dir))
+
+
+PAIRED_SQL = REPORT_SQL.rstrip() + ",\n" + _per_row_sql("avg").strip()[len("WITH"):] + """,
+sim AS (SELECT project, period, count(*) AS num_samples, avg(sim) AS similarity FROM per_row GROUP BY ALL),
+f1 AS (SELECT project, period, f1_score AS f1_macro FROM report WHERE class = 'macro avg' AND scope = 'window'),
+paired AS (SELECT * FROM sim JOIN f1 USING (project, period))
+"""
+
+
+def _sql(body: str) -> str:
+    return with_views(PAIRED_SQL + body, "predictions", "vectors")
+
+
+@query("similarity_vs_f1", _sql(f"""
+SELECT project, period, num_samples, {r('similarity')} AS similarity, {r('f1_macro')} AS f1_macro FROM paired"""))
+def q_similarity_vs_f1(spark, sf_dir):
+    return rounded(paired(spark, sf_dir))
+
+
+@query("period_deltas", _sql(f"""
+SELECT project, period,
+  {r('coalesce(similarity - lag(similarity) OVER (PARTITION BY project ORDER BY period), 0)')} AS similarity_delta,
+  {r('coalesce(f1_macro - lag(f1_macro) OVER (PARTITION BY project ORDER BY period), 0)')} AS f1_macro_delta
+FROM paired"""))
+def q_period_deltas(spark, sf_dir):
+    d = SE.period_deltas(paired(spark, sf_dir), ["similarity", "f1_macro"])
+    return rounded(d.select("project", "period", "similarity_delta", "f1_macro_delta"))
+
+
+@query("minmax_scale", _sql(f"""
+SELECT project, period,
+  {r('coalesce((similarity - min(similarity) OVER w) / nullif(max(similarity) OVER w - min(similarity) OVER w, 0), 0)')}
+    AS similarity_normalized,
+  {r('coalesce((f1_macro - min(f1_macro) OVER w) / nullif(max(f1_macro) OVER w - min(f1_macro) OVER w, 0), 0)')}
+    AS f1_macro_normalized
+FROM paired WINDOW w AS (PARTITION BY project)"""))
+def q_minmax_scale(spark, sf_dir):
+    d = SE.minmax_scale(paired(spark, sf_dir), ["similarity", "f1_macro"])
+    return rounded(d.select("project", "period", "similarity_normalized", "f1_macro_normalized"))
+
+
+@query("zscore_scale", _sql(f"""
+SELECT project, period,
+  {r('coalesce((similarity - avg(similarity) OVER w) / nullif(stddev_pop(similarity) OVER w, 0), 0)')}
+    AS similarity_zscore,
+  {r('coalesce((f1_macro - avg(f1_macro) OVER w) / nullif(stddev_pop(f1_macro) OVER w, 0), 0)')}
+    AS f1_macro_zscore
+FROM paired WINDOW w AS (PARTITION BY project)"""))
+def q_zscore_scale(spark, sf_dir):
+    d = SE.zscore_scale(paired(spark, sf_dir), ["similarity", "f1_macro"])
+    return rounded(d.select("project", "period", "similarity_zscore", "f1_macro_zscore"))
+
+
+_R_SQL = "covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+@query("pearson_r", _sql(f"""
+SELECT project, count(*) AS n, {r(_R_SQL.format(x='similarity', y='f1_macro'))} AS r FROM paired GROUP BY project"""))
+def q_pearson_r(spark, sf_dir):
+    return rounded(ST.pearson(paired(spark, sf_dir), "similarity", "f1_macro", with_p=False))
+
+
+_RANKS = """ranked AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY similarity)
+                     + (count(*) OVER (PARTITION BY {g}, similarity) - 1) / 2.0 AS rx,
+                     rank() OVER (PARTITION BY {g} ORDER BY f1_macro)
+                     + (count(*) OVER (PARTITION BY {g}, f1_macro) - 1) / 2.0 AS ry FROM {src})"""
+
+
+@query("spearman_r", _sql(f""", {_RANKS.format(g='project', src='paired')}
+SELECT project, count(*) AS n, {r(_R_SQL.format(x='rx', y='ry'))} AS r FROM ranked GROUP BY project"""))
+def q_spearman_r(spark, sf_dir):
+    return rounded(ST.spearman(paired(spark, sf_dir), "similarity", "f1_macro", with_p=False))
+
+
+@query("yearly_spearman_r", _sql(f""",
+y AS (SELECT *, TRY_CAST(regexp_extract(period, '(\\d{{4}})', 1) AS INTEGER) AS year FROM paired),
+yk AS (SELECT * FROM y WHERE (project, year) IN (SELECT project, year FROM y GROUP BY ALL HAVING count(*) >= 3)),
+{_RANKS.format(g='project, year', src='yk')}
+SELECT project, year, count(*) AS n, {r(_R_SQL.format(x='rx', y='ry'))} AS r FROM ranked GROUP BY project, year"""))
+def q_yearly_spearman_r(spark, sf_dir):
+    p = paired(spark, sf_dir).withColumn("year", period_year("period"))
+    counts = p.groupBy("project", "year").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3")
+    kept = p.join(counts.drop("_n"), ["project", "year"], "left_semi")
+    return rounded(ST.spearman(kept, "similarity", "f1_macro", keys=["project", "year"], with_p=False))
+
+
+@query("density_histogram", with_views(REPORT_SQL + f""",
+hv AS (SELECT project, f1_score AS v FROM report WHERE class = 'macro avg' AND scope = 'window'),
+st AS (SELECT project, count(*) AS n, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25) AS q1,
+              quantile_cont(v, 0.75) AS q3 FROM hv GROUP BY project),
+w AS (SELECT *, hi - lo AS span,
+             least(greatest(2 * (q3 - q1) * pow(n, -1.0 / 3.0), (hi - lo) / sqrt(n) / 2), (hi - lo) / (log2(n) + 1))
+             AS width FROM st),
+b AS (SELECT project, n, CASE WHEN width > 0 THEN CAST(ceil(span / width) AS INTEGER) ELSE 1 END AS bins,
+             CASE WHEN span = 0 THEN lo - 0.5 ELSE lo END AS first,
+             CASE WHEN span = 0 THEN hi + 0.5 ELSE hi END AS last FROM w),
+c AS (SELECT hv.project, least(CAST(floor((v - first) * bins / (last - first)) AS INTEGER), bins - 1) AS bin,
+             count(*) AS cnt FROM hv JOIN b USING (project) GROUP BY ALL),
+allb AS (SELECT project, n, bins, first, last, CAST(unnest(range(bins)) AS INTEGER) AS bin FROM b)
+SELECT project, bin, {r('first + bin * (last - first) / bins')} AS bin_left,
+       {r('first + (bin + 1) * (last - first) / bins')} AS bin_right,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count,
+       {r('coalesce(cnt, 0) / (n * (last - first) / bins)')} AS density
+FROM allb LEFT JOIN c USING (project, bin)""", "predictions"))
+def q_density_histogram(spark, sf_dir):
+    return rounded(ST.density_histogram(macro_f1(spark, sf_dir), "f1_macro"))
+
+
+# ---- rows-only: kernels without an SQL form (tested against brute force in tests/)
+
+@query("correlation_test")
+def q_correlation_test(spark, sf_dir):
+    p = paired(spark, sf_dir)
+    a = ST.pearson(p, "similarity", "f1_macro").withColumn("method", F.lit("Pearson"))
+    b = ST.spearman(p, "similarity", "f1_macro").withColumn("method", F.lit("Spearman"))
+    return rounded(a.unionByName(b))
+
+
+@query("check_normality")
+def q_check_normality(spark, sf_dir):
+    p = SE.minmax_scale(paired(spark, sf_dir), ["similarity", "f1_macro"])
+    return rounded(ST.check_normality(p, ["similarity_normalized", "f1_macro_normalized"]))
+
+
+@query("qq_points")
+def q_qq_points(spark, sf_dir):
+    return rounded(ST.qq_points(paired(spark, sf_dir), ["similarity", "f1_macro"]))
+
+
+@query("auto_correlation_test")
+def q_auto_correlation_test(spark, sf_dir):
+    p = SE.minmax_scale(paired(spark, sf_dir), ["similarity", "f1_macro"])
+    return rounded(ST.auto_correlation_test(p, "similarity_normalized", "f1_macro_normalized"))
+
+
+@query("yearly_correlation")
+def q_yearly_correlation(spark, sf_dir):
+    return rounded(ST.yearly_correlation(paired(spark, sf_dir), "similarity", "f1_macro"))
+
+
+@query("dtw_align")
+def q_dtw_align(spark, sf_dir):
+    return D.dtw_align(paired(spark, sf_dir), "similarity", "f1_macro")
