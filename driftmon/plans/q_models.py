@@ -1 +1,69 @@
-"""Queries (filled in below)."""
+"""Queries: tokens, embeddings, fitted classifier, evaluation, end-to-end jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftmon.operators import model as M
+from driftmon.operators import report as R
+from driftmon.operators import similarity as SIM
+from driftmon.operators import windows as W
+from driftmon.plans.catalog import query
+from driftmon.plans.rounding import rounded
+from driftmon.session import scratch_path
+from driftmon.sources import fixtures
+from driftmon.sources.fixtures import with_views
+from driftmon.sources.tables import read_table
+
+TRAIN = W.target_window("year", 1995, 1996)
+
+
+@query("tokenize_text", with_views("""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: x <> '') AS tokens
+           FROM documents)
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct
+FROM t"""))
+def q_tokenize_text(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = M.tokenize_text(docs)
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"),
+                    F.size(F.array_distinct("tokens")).alias("n_distinct"))
+
+
+def _split_text(spark, sf_dir):
+    lt = fixtures.labelled_text(spark, sf_dir)
+    return W.train_windows(lt, TRAIN), W.test_windows(lt, TRAIN, "month", rule="similarity")
+
+
+@query("embed_text")
+def q_embed_text(spark, sf_dir):
+    train, test = _split_text(spark, sf_dir)
+    e = M.embed_text(train, test, dim=256)
+    return rounded(e.select("doc_id", "project", "period", F.size("embedding").alias("dim"),
+                            F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+
+
+@query("fit_and_score")
+def q_fit_and_score(spark, sf_dir):
+    train, test = _split_text(spark, sf_dir)
+    model = M.fit_classifier(train)
+    return M.score_classifier(model, test).select("doc_id", "project", "period", "y_true", "y_pred")
+
+
+@query("evaluate_classifier")
+def q_evaluate_classifier(spark, sf_dir):
+    """Fit, save, load the saved model, score the test windows, report per window."""
+    train, test = _split_text(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    M.save_model(M.fit_classifier(train), path)
+    scored = M.score_classifier(M.load_model(path), test)
+    return rounded(R.report_by_window(scored))
+
+
+@query("text_similarity_by_period")
+def q_text_similarity_by_period(spark, sf_dir):
+    """Embed the documents' text and measure test windows against the training text."""
+    train, test = _split_text(spark, sf_dir)
+    emb_train = M.embed_text(train, train, dim=256)
+    emb_test = M.embed_text(train, test, dim=256)
+    return rounded(SIM.similarity_by_period(emb_test, emb_train, "mean", id_col="doc_id"))

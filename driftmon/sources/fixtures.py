@@ -195,8 +195,10 @@ def with_views(sql: str, *views: str) -> str:
         "vectors": VECTORS_SQL,
         "labelled_text": LABELLED_TEXT_SQL,
     }
-    ctes = ",\n".join(f"{v} AS ({texts[v]})" for v in views)
     body = sql.strip()
+    if not views:
+        return body
+    ctes = ",\n".join(f"{v} AS ({texts[v]})" for v in views)
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
