@@ -42,4 +42,5 @@ def load_all() -> None:
         q_similarity,
         q_series,
         q_models,
+        q_jobs,
     )

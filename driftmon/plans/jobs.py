@@ -55,3 +55,77 @@ def distribution_tables(mapped: DataFrame, mode: str, split_type: str | None = N
             raise ValueError("windows mode requires split_type and range_size")
         return distribution.window_distribution(windows.create_time_windows(mapped, split_type, range_size))
     raise ValueError("mode must be 'overall' or 'windows'")
+
+
+def monitor_classifier(windows_df: DataFrame, target, split_type: str, keys=("project",), labels=None,
+                       model=None, model_type: str = "logistic", rule: str = "evaluation",
+                       sampling: str | None = None, samples_per_class: int = 50, seed: int = 42,
+                       id_col: str = "issue_id", model_path: str | None = None):
+    """Train on the range (or reuse ``model``), score later windows, report per window.
+
+    Returns ``(report, predictions, model)``; ``model_path`` saves the fitted model.
+    """
+    from driftmon.operators import model as M
+    from driftmon.operators import report as R
+    from driftmon.operators.sampling import sample_training_data
+
+    if model is None:
+        train = windows.load_model_frame(windows_df, target, split_type, labels=labels)
+        if sampling:
+            train = sample_training_data(train, sampling, label_col="label", id_col=id_col,
+                                         n=samples_per_class, seed=seed, keys=keys)
+        model = M.fit_classifier(train, model_type=model_type)
+        if model_path:
+            M.save_model(model, model_path)
+    test = windows.load_model_frame(windows_df, target, split_type, test=True, rule=rule, labels=labels)
+    scored = M.score_classifier(model, test)
+    return R.report_by_window(scored, keys), scored, model
+
+
+def monitor_similarity(train_vectors: DataFrame, test_vectors: DataFrame, mode: str = "mean",
+                       keys=("project",), id_col: str = "vec_id", include_distribution: bool = True,
+                       exact: bool = True) -> DataFrame:
+    """Similarity of every test window to the training vectors, one row per (keys, window)."""
+    from driftmon.operators import similarity as SIM
+
+    return SIM.similarity_by_period(test_vectors, train_vectors, mode, keys, id_col=id_col,
+                                    include_distribution=include_distribution, exact=exact)
+
+
+def relate_similarity_to_quality(similarity: DataFrame, report: DataFrame, keys=("project",),
+                                 use_deltas: bool = False, normalize: bool = True, split_type: str = "month"):
+    """Pair the series, then normality, the automatic correlation test, DTW and (month) yearly tests.
+
+    Returns a dict of DataFrames: ``paired``, ``normality``, ``correlation``, ``dtw``, ``yearly``.
+    """
+    from driftmon.operators import dtw as D
+    from driftmon.operators import report as R
+    from driftmon.operators import series as SE
+    from driftmon.operators import stats as ST
+
+    keys = list(keys)
+    paired = SE.join_similarity_performance(similarity, R.macro_f1_series(report, keys), keys)
+    x, y = "similarity", "f1_macro"
+    if use_deltas:
+        paired = SE.period_deltas(paired, [x, y], keys)
+        x, y = f"{x}_delta", f"{y}_delta"
+    dtw_x, dtw_y = x, y  # DTW restarts from the raw (or delta) columns
+    if normalize:
+        paired = SE.minmax_scale(paired, [x, y], keys)
+        x, y = f"{x}_normalized", f"{y}_normalized"
+    out = {
+        "paired": paired,
+        "normality": ST.check_normality(paired, [x, y], keys),
+        "correlation": ST.auto_correlation_test(paired, x, y, keys),
+        "dtw": D.dtw_align(paired, dtw_x, dtw_y, keys),
+    }
+    if split_type == "month":
+        out["yearly"] = ST.yearly_correlation(paired, x, y, keys)
+    return out
+
+
+def performance_timeline(report: DataFrame, keys=("project",)) -> DataFrame:
+    """Macro F1 per window placed on a decimal-year axis, sorted."""
+    from driftmon.operators import report as R
+
+    return R.performance_timeline(R.macro_f1_series(report, keys), keys).orderBy(*keys, "decimal_date")
