@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from driftmon.functions import numeric as K
 from driftmon.functions.periods import period_year
@@ -22,7 +23,7 @@ from driftmon.operators.joins import join_small
 ALPHA = 0.05
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation coefficient (Student t with n-2 df)."""
     out = [K.correlation_p_value(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b))
