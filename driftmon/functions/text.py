@@ -29,7 +29,7 @@ def strip_unprintable(col, replace_with: str = "") -> Column:
 
 def strip_nul(col) -> Column:
     """Remove NUL bytes (the cleaner does this before parsing its CSV)."""
-    return F.translate(_c(col), "\u0000", "")
+    return F.replace(_c(col), F.lit("\u0000"), F.lit(""))
 
 
 def na_tokens_to_null(col, tokens=NA_TOKENS) -> Column:
