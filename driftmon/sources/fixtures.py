@@ -47,19 +47,20 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 7 == 0, F.concat(day, F.lit("T23:30:00.000-0500")))
         .otherwise(F.concat(day, F.lit("T16:45:26.000+0000")))
     )
-    base = d.join(o, d.doc_id == o.o_orderkey).select(
-        F.col("doc_id").alias("issue_id"),
+    relabelled = (read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("o_orderkey"))
+                  .distinct().withColumn("_again", F.lit(True)))
+    joined = d.join(o, d.doc_id == o.o_orderkey).join(relabelled, "o_orderkey", "left")
+    # one pass over the join: a relabelled document yields its row twice (new id, same fields)
+    ids = F.when(F.col("_again"), F.array(F.col("doc_id"), F.col("doc_id") + 1000000)).otherwise(
+        F.array(F.col("doc_id")))
+    return joined.select(
+        F.explode(ids).alias("issue_id"),
         F.concat(F.lit("P"), (F.col("doc_id") % 4).cast("string")).alias("project"),
         F.col("source").alias("title"),
         F.when(F.col("doc_id") % 25 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("body"),
         label.alias("label"),
         date.alias("date"),
     )
-    relabelled = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("issue_id"))
-    again = base.join(relabelled, "issue_id", "left_semi").select(
-        (F.col("issue_id") + 1000000).alias("issue_id"), "project", "title", "body", "label", "date"
-    )
-    return base.unionByName(again)
 
 
 ISSUES_SQL = """
