@@ -110,7 +110,8 @@ def split_type_of(label) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+    """Date from parts without a string round trip; null if the parts are impossible."""
+    return F.to_date(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)))
 
 
 _ANY_RE = r"^\d+(-\d{1,2}(-\d{1,2})?)?_\d+(-\d{1,2}(-\d{1,2})?)?$"
