@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with UTC time, AQE and Arrow switched on.
@@ -32,15 +35,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and executors are one process (``local``, ``local[n]``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset.
+    """Return the shared checkpoint folder, setting a local one only in local mode.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we read it
-    from the session and never override it.  Only when nothing is set (unit
-    tests, a laptop) do we create one.
+    from the session and never override it.  When nothing is set, a local
+    session (unit tests, a laptop) gets a temporary folder, and a cluster an
+    error: its executors could not read each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -48,20 +59,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="driftmon-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="driftmon-ship-"), "driftmon.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code paths that need an OS path (tests only)."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "local_path", "os"]
+__all__ = ["get_spark", "is_local", "ensure_checkpoint_dir", "ship_package", "scratch_path"]
