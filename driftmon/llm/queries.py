@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftmon.llm import exact_dedup, mixing, packing
+from driftmon.llm import chat, exact_dedup, fingerprint, mixing, packing, warc
+from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def word_bpe_path() -> str:
     """Where the tokenizer's file lies; the same installed package on the driver and the executors."""
     import public_tokenizers
@@ -36,6 +42,20 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_chat_format", chat.OP3_SQL)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = materialise(chat.format_turns(rows.unionByName(more), byte_bpe_path()), "turns")
+    return chat.read_conversations(turns, byte_bpe_path()).drop("n_tokens", "loss_tokens")
+
+
+@query("op4_scaled_sketch")
+def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe_path())
@@ -46,4 +66,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-__all__ = ["QUERIES", "ORACLES", "F"]
+@query("op9_warc_round_trip", warc.OP9_SQL)
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
