@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import chat, exact_dedup, fingerprint, mixing, packing, warc
+from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, packing, warc
 from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
@@ -61,6 +61,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 @query("op8_exact_dedup", exact_dedup.OP8_SQL)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
