@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, packing, warc
+from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, packing, toxicity, warc
 from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
@@ -75,3 +75,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
