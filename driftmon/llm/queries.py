@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, packing, toxicity, warc
+from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, packing, quality, toxicity, warc
 from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
@@ -37,6 +37,11 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op2_source_mix")
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
