@@ -4,29 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import exact_dedup, mixing, packing
+from driftmon.llm import exact_dedup, mixing, ngram_join, packing, quality
 from driftmon.llm.common import materialise
 from driftmon.llm.queries import word_bpe_path
 from driftmon.sources.tables import read_table
 
 
-def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of like texts stays (five words, 0.8)."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, near the sources' target weights."""
     return mixing.repeat_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence."""
+    """Every piece of every document with its sequence and its place there."""
     return packing.pack_documents(docs, word_bpe_path())
 
 
 STAGES = [
-    ("exact_dedup", dedup_exact),
+    ("quality", keep_good),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
     ("source_mix", mix),
     ("best_fit_packing", pack),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, packing, quality, toxicity, warc
+from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, toxicity, warc
 from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
@@ -61,6 +61,11 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_ngram_join", ngram_join.OP5_SQL)
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), 4, (85, 100))
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe_path())
