@@ -5,7 +5,7 @@ The whole part is taken; the fractional parts are rounded together: two
 documents are paired and words are moved at random from one to the other,
 keeping both expectations, until one of them is integral.  Because words move,
 not counts, the source's total stays what it was.  Small groups of documents
-do this independently and hand on one unfinished document each; those are
+do this independently and hand on a few unfinished documents each; those are
 paired again, group by group, in a tree.  At the root the last one goes to the
 nearer side and the root's few documents make up for what that missed.  The
 groups and the random numbers come from hashes of the rows, so a rerun agrees
@@ -95,16 +95,24 @@ def pivot(size: np.ndarray, frac: np.ndarray, u: np.ndarray) -> tuple[np.ndarray
 
 
 def settle(size: np.ndarray, frac: np.ndarray, f: np.ndarray, carry: int) -> np.ndarray:
-    """End at the root of the tree: round the last document to the nearer side, then undo
-    single roundings, largest first, as long as the source comes nearer to its target."""
+    """End at the root of the tree: round the last document to the nearer side, then turn the one
+    or two roundings that bring the source nearest to its target, as long as that helps."""
     f = f.copy()
     if carry >= 0:
         f[carry] = float(f[carry] >= 0.5)
+    free = np.flatnonzero((size > 0) & (frac > _TINY) & (frac < 1 - _TINY))
     miss = float(np.sum(size * (f - frac)))
-    for j in np.argsort(-size, kind="stable"):
-        turn = size[j] * (1 - 2 * f[j])
-        if _TINY < frac[j] < 1 - _TINY and size[j] > 0 and abs(miss + turn) < abs(miss):
-            f[j], miss = 1 - f[j], miss + turn
+    while len(free):
+        turn = size[free] * (1 - 2 * f[free])
+        both = turn[:, None] + turn[None, :]
+        np.fill_diagonal(both, turn)
+        left = np.abs(miss + both)
+        i, j = np.unravel_index(np.argmin(left), left.shape)
+        if left[i, j] >= abs(miss) - _TINY:
+            break
+        miss += both[i, j]
+        for k in {int(i), int(j)}:
+            f[free[k]] = 1 - f[free[k]]
     return f
 
 
@@ -112,10 +120,16 @@ def _round_group(table: pa.Table) -> pa.Table:
     size = table["size"].to_numpy().astype(np.float64)
     order = np.lexsort((table["row"].to_numpy(), table["u"].to_numpy(), -size))
     table, size = table.take(pa.array(order)), size[order]
-    frac = table["frac"].to_numpy()
-    f, carry = pivot(size, frac, table["u"].to_numpy())
+    frac, u = table["frac"].to_numpy(), table["u"].to_numpy()
     if table["groups"][0].as_py() <= 1:
+        f, carry = pivot(size, frac, u)
         f = settle(size, frac, f, carry)
+    else:  # some documents of all sizes go up as they are, to make up misses at the root
+        open_ = np.flatnonzero((size > 0) & (frac > _TINY) & (frac < 1 - _TINY))
+        up = open_[[len(open_) * k // 16 for k in (1, 2, 4, 8, 12)] + [-1]] if len(open_) > 16 else open_[:0]
+        rest = np.setdiff1d(np.arange(len(size)), up)
+        f = frac.copy()
+        f[rest], _ = pivot(size[rest], frac[rest], u[rest])
     return table.set_column(table.schema.get_field_index("frac"), "frac", pa.array(f, pa.float64()))
 
 
