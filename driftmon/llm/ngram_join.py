@@ -57,8 +57,8 @@ def ngram_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text with fewer words has its whole sequence as one; without words none.
     """
-    distinct, at, ends = split_words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+    distinct, at, ends = split_words(texts)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, pc.ascii_lower(distinct).to_pylist()), np.uint64, len(distinct))
     w = own[at]
     begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     n = ends - begin

@@ -119,6 +119,7 @@ def candidate_chain(spark: SparkSession, path: str) -> DataFrame:
 def reachable(keys: DataFrame) -> DataFrame:
     """The candidates (file, off) that the links lead to from the start of each file."""
     order = Window.partitionBy("file").orderBy("off")
+    keys = keys.withColumn("succ", F.when(F.col("succ") > F.col("off"), F.col("succ")))  # links only lead onward
     linked = keys.withColumn("before", F.lag("succ").over(order))
     odd = linked.where(~F.col("before").eqNullSafe(F.col("off")))
     targets = keys.where(~F.col("succ").eqNullSafe(F.col("seg_end"))).select("file", F.col("succ").alias("off")).where(
