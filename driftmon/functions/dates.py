@@ -15,37 +15,64 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WALL_CLOCK_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
-# ISO 8601 forms datetime.fromisoformat accepts for issue dates: a date,
-# optionally a time (minutes, seconds, fraction), optionally Z or an offset;
-# or the compact basic date.
+# ISO 8601 forms of issue dates: a date, optionally a time (minutes, seconds,
+# a fraction of any length after a point or comma), optionally Z or an offset;
+# the same in the compact basic form.
 ISO_DATETIME_RE = (
-    r"^\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?)?)?"
+    r"^\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)?)?"
     r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?$"
 )
-ISO_BASIC_DATE_RE = r"^\d{8}$"
-OFFSET_SUFFIX_RE = r"(?:Z|[+-]\d{2}:?\d{2})$"
+ISO_BASIC_RE = (
+    r"^\d{8}(?:T(?:[01]\d|2[0-3])(?:[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
+    r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?)?$"
+)
+# Year, month, day, hour, minute, second, fraction, sign, offset hours and minutes of either form.
+PARTS_RE = (
+    r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2}):?(\d{2})?:?(\d{2})?(?:[.,](\d+))?)?"
+    r"(?:Z|([+-])(\d{2}):?(\d{2})?)?$"
+)
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _part(c: Column, k: int, missing: str = "00") -> Column:
+    found = F.regexp_extract(c, PARTS_RE, k)
+    return F.when(found == "", F.lit(missing)).otherwise(found)
+
+
+def _is_iso(c: Column) -> Column:
+    return c.rlike(ISO_DATETIME_RE) | c.rlike(ISO_BASIC_RE)
+
+
+def _clock_text(c: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` as written, without fraction and offset; null when not ISO."""
+    day = F.concat_ws("-", *[_part(c, k) for k in (1, 2, 3)])
+    time = F.concat_ws(":", *[_part(c, k) for k in (4, 5, 6)])
+    return F.when(_is_iso(c), F.concat_ws("T", day, time))
+
+
 def parse_wall_clock(col) -> Column:
-    """Cut at the first '.', drop a trailing offset, parse the local wall clock."""
-    head = F.regexp_replace(F.substring_index(_c(col), ".", 1), OFFSET_SUFFIX_RE, "")
-    return F.try_to_timestamp(head, F.lit(WALL_CLOCK_FORMAT))
+    """The local wall clock of every form ``is_valid_date`` accepts; the offset and fraction are dropped."""
+    return F.try_to_timestamp(_clock_text(_c(col)), F.lit(WALL_CLOCK_FORMAT))
 
 
 def parse_utc(col) -> Column:
-    """Parse a timestamp with fraction and offset and express it in UTC."""
-    return F.try_to_timestamp(_c(col), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx"))
+    """The instant of every form ``is_valid_date`` accepts; no offset means UTC."""
+    c = _c(col)
+    at = F.try_to_timestamp(F.concat(_clock_text(c), F.lit("+0000")), F.lit(WALL_CLOCK_FORMAT + "xx"))
+    micros = F.rpad(F.substring(_part(c, 7, "0"), 1, 6), 6, "0").cast("long")
+    minutes = _part(c, 9).cast("long") * 60 + _part(c, 10).cast("long")
+    sign = F.when(_part(c, 8, "+") == "-", -1).otherwise(1)
+    return F.timestamp_micros(F.unix_micros(at) + micros - sign * minutes * 60_000_000)
 
 
 def iso_calendar_date(col) -> Column:
     """The calendar date written in an ISO string (its own offset), or null."""
     c = _c(col)
     extended = F.when(c.rlike(ISO_DATETIME_RE), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
-    basic = F.when(c.rlike(ISO_BASIC_DATE_RE), F.try_to_date(c, "yyyyMMdd"))
+    basic = F.when(c.rlike(ISO_BASIC_RE), F.try_to_date(F.substring(c, 1, 8), "yyyyMMdd"))
     return F.coalesce(extended, basic)
 
 

@@ -189,6 +189,8 @@ def probplot(x) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     """Normal probability plot: (theoretical quantiles, ordered values, slope, intercept, r)."""
     osr = np.sort(np.asarray(x, dtype=float))
     n = osr.size
+    if n < 2:  # no line through one point
+        return np.zeros(n), osr, math.nan, math.nan, math.nan
     u = np.empty(n)
     u[-1] = 0.5 ** (1.0 / n)
     u[0] = 1.0 - u[-1]
@@ -286,8 +288,3 @@ def zscore(v) -> np.ndarray:
     v = np.asarray(v, dtype=float)
     sd = v.std()
     return (v - v.mean()) / sd if sd > 0 else v - v.mean()
-
-
-def histogram_auto(v) -> tuple[np.ndarray, np.ndarray]:
-    """Density histogram with NumPy's automatic bin rule (for tests of the SQL version)."""
-    return np.histogram(np.asarray(v, dtype=float), bins="auto", density=True)

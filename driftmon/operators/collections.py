@@ -10,18 +10,6 @@ from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-# The projects processed when none are requested explicitly.
-DEFAULT_COLLECTIONS = ["Apache", "Jira", "RedHat", "MongoDB"]
-
-
-def resolve_collections(cli=None, configured=None):
-    """Precedence: explicit request > configured list > None (all)."""
-    if cli:
-        return list(cli)
-    if configured:
-        return list(configured)
-    return None
-
 
 def missing_names(spark: SparkSession, available: DataFrame, requested, project_col: str = "project") -> DataFrame:
     """Requested names absent from the data (``requested`` LEFT ANTI available)."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, Normalizer, RegexTokenizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +63,7 @@ def classifier_pipeline(text_col: str = "text", label_col: str = "label", model_
                         num_features: int = 1 << 18, max_iter: int = 50) -> Pipeline:
     """Tokenise, hash, IDF, index labels alphabetically, fit the classifier, map ids back."""
     indexer = StringIndexer(inputCol=label_col, outputCol="_label_id", stringOrderType="alphabetAsc",
-                            handleInvalid="skip")
+                            handleInvalid="error")
     if model_type == "logistic":
         clf = LogisticRegression(featuresCol="_features", labelCol="_label_id", predictionCol="_pred_id",
                                  maxIter=max_iter, regParam=0.01)
@@ -82,18 +82,24 @@ def classifier_pipeline(text_col: str = "text", label_col: str = "label", model_
 
 def fit_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
                    model_type: str = "logistic", **kw) -> PipelineModel:
-    return classifier_pipeline(text_col, label_col, model_type, **kw).fit(train.fillna("", [text_col]))
+    """Fit on the labelled rows; rows without a label teach nothing and are left out here only."""
+    known = train.where(F.col(label_col).isNotNull()).fillna("", [text_col])
+    return classifier_pipeline(text_col, label_col, model_type, **kw).fit(known)
 
 
 def score_classifier(model: PipelineModel, df: DataFrame, text_col: str = "text", label_col: str = "label",
                      pred_col: str = "y_pred", true_col: str = "y_true") -> DataFrame:
-    """Predict classes (null text counts as ''), names back via the fitted label index."""
-    labels = model.stages[3].labels
-    out = model.transform(df.fillna("", [text_col]))
-    back = IndexToString(inputCol="_pred_id", outputCol=pred_col, labels=labels)
-    out = back.transform(out)
+    """Predict a class for every row (null text counts as ''), names back via the fitted label index.
+
+    The label indexer takes no part in scoring, so rows whose label is null,
+    unknown to the model or missing altogether are scored like all others.
+    """
+    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    scorer = PipelineModel(stages=[s for s in model.stages if s is not indexer])
+    back = IndexToString(inputCol="_pred_id", outputCol=pred_col, labels=indexer.labels)
+    out = back.transform(scorer.transform(df.fillna("", [text_col])))
     return out.withColumnRenamed(label_col, true_col).drop(
-        "_tokens", "_tf", "_features", "_label_id", "_pred_id", "rawPrediction", "probability")
+        "_tokens", "_tf", "_features", "_pred_id", "rawPrediction", "probability")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -49,6 +49,11 @@ def _metrics(df: DataFrame) -> DataFrame:
     )
 
 
+def _share(part, whole):
+    """``part / whole``, 0 where a window has no row of the classes asked for."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
 def report_by_window(pred: DataFrame, keys=("project",), period_col: str = "period",
                      true_col: str = "y_true", pred_col: str = "y_pred", labels=None) -> DataFrame:
     """Long report: ``keys, scope, period, class, precision, recall, f1_score, support``.
@@ -74,10 +79,10 @@ def report_by_window(pred: DataFrame, keys=("project",), period_col: str = "peri
     group = [*keys, "scope", period_col]
     totals = per_class.groupBy(*group).agg(
         F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1_score").alias("m_f"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("w_p"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("w_r"),
-        (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("w_f"),
-        (F.sum("tp") / F.sum("support")).alias("acc"),
+        _share(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("w_p"),
+        _share(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("w_r"),
+        _share(F.sum(F.col("f1_score") * F.col("support")), F.sum("support")).alias("w_f"),
+        _share(F.sum("tp"), F.sum("support")).alias("acc"),
         F.sum("support").alias("support"),
     )
     out_cols = [*group, "class", "precision", "recall", "f1_score", "support"]

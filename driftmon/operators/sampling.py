@@ -22,7 +22,6 @@ Rows below the bracket are selected, rows above it are not.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +32,8 @@ _SCALE = float(1 << 60)  # 15 hex digits of the md5
 
 def hash_order(id_col: str, seed: int) -> tuple[Column, Column]:
     """(md5 text, its first 60 bits as a fraction in [0, 1)) of ``id ':' seed``."""
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    # rows without an id share one place in the order; ties go by the class rows themselves
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
     u = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint").cast("double") / F.lit(_SCALE)
     return h, u
 
@@ -43,18 +43,18 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str, seed: in
     """Add boolean ``flag``: row is among the first ``quota`` of its group in hash order.
 
     ``quotas`` holds one row per group with columns ``groups`` + ``quota``
-    (groups missing from it select nothing).
+    (groups missing from it select nothing).  A null class is a class of its own.
     """
     groups = list(groups)
     h, u = hash_order(id_col, seed)
-    base = df.withColumn("_h", h).withColumn("_u", u).persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.withColumn("_h", h).withColumn("_u", u)  # the counts below scan only the columns they need
     sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     q = F.least(F.col("quota").cast("double"), F.col("_n").cast("double"))
     p = q / F.col("_n")
     spread = (F.lit(6.0) * F.sqrt(F.col("_n") * p * (F.lit(1.0) - p)) + F.lit(24.0)) / F.col("_n")
     nothing, everything = q <= 0, q >= F.col("_n")
     bounds = (
-        sizes.join(quotas.select(*groups, "quota"), groups, "left")
+        join_small(sizes, quotas.select(*groups, "quota"), groups, "left")
         .withColumn("quota", F.coalesce(F.col("quota").cast("bigint"), F.lit(0)))
         .withColumn("_lo", F.when(nothing, -1.0).when(everything, 2.0).otherwise(F.greatest(F.lit(0.0), p - spread)))
         .withColumn("_hi", F.when(nothing, -1.0).when(everything, 2.0).otherwise(F.least(F.lit(2.0), p + spread)))
@@ -65,7 +65,7 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str, seed: in
         F.count_if((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).alias("_inside"),
     )
     checked = (
-        bounds.join(zone_counts, groups, "left")
+        join_small(bounds, zone_counts, groups, "left")
         .withColumn("_ok", (F.col("_below") <= F.col("quota"))
                     & (F.col("_below") + F.col("_inside") >= F.least(F.col("quota"), F.col("_n"))))
         .select(*groups, "quota",

@@ -53,12 +53,21 @@ def train_centroid(train: DataFrame, keys=("project",), vec_col: str = "embeddin
     return agg.select(*keys, vector_to_array("_c").alias("centroid"), "n_train")
 
 
+def _keyed_pair(test: DataFrame, train: DataFrame, keys):
+    """Key-less calls get one constant key on both sides."""
+    keys = list(keys)
+    if keys:
+        return test, train, keys, lambda out: out
+    return test.withColumn("_key", F.lit(0)), train.withColumn("_key", F.lit(0)), ["_key"], lambda out: out.drop("_key")
+
+
 def mean_similarity_per_row(test: DataFrame, train: DataFrame, keys=("project",),
                             vec_col: str = "embedding") -> DataFrame:
     """Each test row with ``sim`` = mean cosine to the key's training vectors."""
+    test, train, keys, done = _keyed_pair(test, train, keys)
     cent = train_centroid(train, keys, vec_col)
-    joined = join_small(test, cent.select(*keys, "centroid"), list(keys), "inner")
-    return joined.withColumn("sim", dot(unit_vector(vec_col), F.col("centroid"))).drop("centroid")
+    joined = join_small(test, cent.select(*keys, "centroid"), keys, "left")  # no training vectors: null, not gone
+    return done(joined.withColumn("sim", dot(unit_vector(vec_col), F.col("centroid"))).drop("centroid"))
 
 
 def _max_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -80,12 +89,14 @@ def max_similarity_per_row(test: DataFrame, train: DataFrame, keys=("project",),
                            train_id_col: str = "vec_id", vec_col: str = "embedding",
                            block_rows: int = 2048, chunk_rows: int = 2048) -> DataFrame:
     """Each test id with ``sim`` = max cosine to the key's training vectors (exact)."""
-    keys = list(keys)
+    test, train, keys, done = _keyed_pair(test, train, keys)
+    # rows that repeat an id are told apart by their vector
+    test = test.withColumn("_vec_hash", F.xxhash64(vec_col))
+    id_cols = [id_col, "_vec_hash"]
     # fresh aliases: train and test often come from one source (self-join lineage)
     tr = train.select(*[F.col(k).alias(k) for k in keys], F.col(train_id_col).alias("_tid"),
                       unit_vector(vec_col).alias("_u"))
-    te = test.select(*[F.col(k).alias(k) for k in keys], F.col(id_col).alias(id_col),
-                     unit_vector(vec_col).alias("_u"))
+    te = test.select(*[F.col(k).alias(k) for k in [*keys, *id_cols]], unit_vector(vec_col).alias("_u"))
     n_tr = tr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ntr"))
     n_te = te.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nte"))
     grid = n_tr.join(n_te, keys, "inner").select(
@@ -95,27 +106,31 @@ def max_similarity_per_row(test: DataFrame, train: DataFrame, keys=("project",),
     )
     tr_cells = (
         join_small(tr, grid, keys, "inner")
-        .withColumn("_block", F.pmod(F.xxhash64(F.col("_tid")), F.col("_nb")).cast("int"))
+        .withColumn("_block", F.pmod(F.xxhash64("_tid", "_u"), F.col("_nb")).cast("int"))
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
         .select(*keys, "_block", "_chunk", "_u")
     )
     te_cells = (
         join_small(te, grid, keys, "inner")
-        .withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nc")).cast("int"))
+        .withColumn("_chunk", F.pmod(F.xxhash64(*id_cols), F.col("_nc")).cast("int"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-        .select(*keys, id_col, "_block", "_chunk", "_u")
+        .select(*keys, *id_cols, "_block", "_chunk", "_u")
     )
     cell = [*keys, "_block", "_chunk"]
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.select(*keys, id_col).schema)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.select(*keys, *id_cols).schema)
     partial = (
-        te_cells.select(*keys, id_col, "_u", *cell[len(keys):]).groupBy(*cell)
+        te_cells.select(*keys, *id_cols, "_u", *cell[len(keys):]).groupBy(*cell)
         .cogroup(tr_cells.groupBy(*cell))
-        .applyInPandas(lambda k, l, r: _max_block(k, l[[*keys, id_col, "_u", "_block"]], r),
+        .applyInPandas(lambda k, l, r: _max_block(k, l[[*keys, *id_cols, "_u", "_block"]], r),
                        f"{key_schema}, block_max double")
     )
-    best = partial.groupBy(*keys, id_col).agg(F.max("block_max").alias("sim"))
-    fresh = best.select(*[F.col(c).alias(c) for c in best.columns])
-    return test.join(fresh, [*keys, id_col], "inner")
+    best = partial.groupBy(*keys, *id_cols).agg(F.max("block_max").alias("sim"))
+    fresh = best.select(*[F.col(c).alias(c if c == "sim" else f"_best_{c}") for c in best.columns])
+    same = F.lit(True)
+    for c in [*keys, *id_cols]:
+        same = same & test[c].eqNullSafe(fresh[f"_best_{c}"])
+    kept = test.join(fresh, same, "left").drop(*[f"_best_{c}" for c in [*keys, *id_cols]], "_vec_hash")
+    return done(kept)
 
 
 def similarity_per_row(test: DataFrame, train: DataFrame, mode: str = "mean", keys=("project",),

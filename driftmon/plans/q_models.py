@@ -64,6 +64,7 @@ def q_evaluate_classifier(spark, sf_dir):
 def q_text_similarity_by_period(spark, sf_dir):
     """Embed the documents' text and measure test windows against the training text."""
     train, test = _split_text(spark, sf_dir)
-    emb_train = M.embed_text(train, train, dim=256)
-    emb_test = M.embed_text(train, test, dim=256)
+    both = train.withColumn("_part", F.lit("train")).unionByName(test.withColumn("_part", F.lit("test")))
+    embedded = M.embed_text(train, both, dim=256)  # fitted once
+    emb_train, emb_test = (embedded.where(F.col("_part") == p).drop("_part") for p in ("train", "test"))
     return rounded(SIM.similarity_by_period(emb_test, emb_train, "mean", id_col="doc_id"))

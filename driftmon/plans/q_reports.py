@@ -97,4 +97,3 @@ def q_report_nested(spark, sf_dir):
     return R.report_as_nested(_report(spark, sf_dir)).drop("report")
 
 
-_ = P  # periods helpers are used through report.performance_timeline

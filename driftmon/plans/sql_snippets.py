@@ -6,9 +6,16 @@ and the Spark plan compute the same thing by independent routes.
 
 from __future__ import annotations
 
-from driftmon.functions.dates import ISO_BASIC_DATE_RE, ISO_DATETIME_RE, OFFSET_SUFFIX_RE
 from driftmon.functions.text import UNPRINTABLE_RE2
 
+# Written out here, apart from the library's own patterns: an oracle that shared them would share their faults.
+_TIME = "([01][0-9]|2[0-3])"
+_SIXTY = "[0-5][0-9]"
+_ZONE = f"(Z|[+-]{_TIME}(:?{_SIXTY})?)?"
+_EXTENDED = f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ]{_TIME}(:{_SIXTY}(:{_SIXTY}([.,][0-9]+)?)?)?)?{_ZONE}$"
+_COMPACT = f"^[0-9]{{8}}(T{_TIME}({_SIXTY}({_SIXTY}([.,][0-9]+)?)?)?{_ZONE})?$"
+_OFFSET = "(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -20,8 +27,8 @@ def strip_unprintable(x: str) -> str:
 
 def iso_calendar_date(x: str) -> str:
     return (
-        f"(CASE WHEN regexp_matches({x}, {q(ISO_DATETIME_RE)}) THEN try_strptime(substr({x}, 1, 10), '%Y-%m-%d') "
-        f"WHEN regexp_matches({x}, {q(ISO_BASIC_DATE_RE)}) THEN try_strptime({x}, '%Y%m%d') END)"
+        f"(CASE WHEN regexp_matches({x}, {q(_EXTENDED)}) THEN try_strptime(substr({x}, 1, 10), '%Y-%m-%d') "
+        f"WHEN regexp_matches({x}, {q(_COMPACT)}) THEN try_strptime(substr({x}, 1, 8), '%Y%m%d') END)"
     )
 
 
@@ -31,7 +38,7 @@ def is_valid_date(x: str, min_year: int = 1900) -> str:
 
 def wall_clock(x: str) -> str:
     return (
-        f"try_strptime(regexp_replace(split_part({x}, '.', 1), {q(OFFSET_SUFFIX_RE)}, ''), "
+        f"try_strptime(regexp_replace(split_part({x}, '.', 1), {q(_OFFSET)}, ''), "
         f"'%Y-%m-%dT%H:%M:%S')"
     )
 
