@@ -33,12 +33,14 @@ from driftmon.llm.words import slices, split_words
 
 #: Defaults of near-duplicate work; (80, 100) is a similarity of 0.8.
 WORDS, ALIKE = 5, (80, 100)
-#: Counters of the frequency sketch, a bounded broadcast of one byte each, and the parts it travels in.
-COUNTERS, CHUNKS = 1 << 20, 16
+#: Counters of the frequency sketch for each document, and their bounds (a broadcast of one byte each).
+PER_DOCUMENT, FEWEST, MOST = 16, 1 << 16, 1 << 24
+#: Counters in one part of the sketch on its way to the driver.
+PART = 1 << 16
 #: Parts of the hash space that the suffix filter compares.
 PARTS = 64
 #: Rounds of leaders at most before all remaining pairs are checked.
-ROUNDS = 4
+ROUNDS = 2
 #: Bits of an n-gram's hash below the byte that holds its frequency.
 _HASH_BITS = np.uint64(56)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,37 +82,44 @@ def ngram_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """For each counter how often its n-grams occur in all texts, in quarter powers of two (one byte)."""
-    each = COUNTERS // CHUNKS
+    """For each counter how often its n-grams occur in all texts, in quarter powers of two (one byte).
+
+    There are the more counters the more documents, up to a bound, so what many
+    documents share stands out from what happens to meet on a counter.
+    """
+    counters = FEWEST
+    wanted = min(MOST, docs.count() * PER_DOCUMENT)
+    while counters < wanted:
+        counters *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int32)
         for batch in batches:
             for part in slices(batch, 0):
                 h, _ = ngram_hashes(part.column(0), words)
-                total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = [zlib.compress(total[k * each : (k + 1) * each].tobytes(), 1) for k in range(CHUNKS)]
-        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
+                total += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.int32)
+        parts = [zlib.compress(total[k : k + PART].tobytes(), 1) for k in range(0, counters, PART)]
+        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(each, np.int64)
+        total = np.zeros(PART, np.int64)
         for batch in batches:
             for counts in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
         level = np.minimum(np.floor(4 * np.log2(total + 1)), 255).astype(np.uint8)
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
 
     found = docs.select("text").mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
-    out = np.zeros(COUNTERS, np.uint8)
+    out = np.zeros(counters, np.uint8)
     for r in found.collect():
-        out[r["chunk"] * each : (r["chunk"] + 1) * each] = np.frombuffer(bytes(r["level"]), np.uint8)
+        out[r["chunk"] * PART : (r["chunk"] + 1) * PART] = np.frombuffer(bytes(r["level"]), np.uint8)
     return out
 
 
 def _sets(texts: pa.Array, words: int, level: np.ndarray) -> Iterator[np.ndarray]:
     """Each text's distinct n-grams, rarest first: the frequency's byte above the hash."""
     h, upto = ngram_hashes(texts, words)
-    key = (level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _HASH_BITS) | (h >> np.uint64(8))
+    key = (level[(h & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64) << _HASH_BITS) | (h >> np.uint64(8))
     begin = 0
     for end in upto.tolist():
         one = np.sort(key[begin:end])
