@@ -6,6 +6,9 @@ common subsequence and the shared ones are deleted.  Two exact rules frame
 this: lines inside the page's article are never deleted because a neighbour
 has them (articles quote and copy each other), and what the markup itself
 calls a menu, an advert and so on goes even where the neighbour's differs.
+All other lines are decided by differencing, those around an article too: they
+stay with it if the neighbour has the page's template (shares a line outside
+its article) but not them.
 """
 
 from __future__ import annotations
@@ -53,7 +56,8 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _SHORT = frozenset(["p", "li", "dt", "dd"])
 _ROWS = pa.schema([
     ("place", pa.int64()), ("key", pa.string()), ("host", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
-    ("article", pa.string()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())),
+    ("article", pa.list_(pa.string())), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())),
+    ("after", pa.list_(pa.int32())),
 ])
 _OUT = "page_id long, url string, text string, n_chars long, shared_lines long"
 
@@ -72,8 +76,14 @@ def _is_chrome(name: str, attributes: str) -> bool:
 
 def page_lines(source: str) -> tuple[list[str], list[tuple[str, bool]]]:
     """The lines inside the page's article, and the lines outside with whether the markup leaves them open."""
+    return placed_lines(source)[:2]
+
+
+def placed_lines(source: str) -> tuple[list[str], list[tuple[str, bool]], list[int]]:
+    """As ``page_lines``, and for each line outside how many of the article's come before it."""
     inside: list[str] = []
     outside: list[tuple[str, bool]] = []
+    after: list[int] = []
     stack: list[tuple[str, bool, bool]] = []  # name, chrome, article
     chrome = article = 0
     text: list[str] = []
@@ -88,6 +98,7 @@ def page_lines(source: str) -> tuple[list[str], list[tuple[str, bool]]]:
                     inside.append(line)
                 else:
                     outside.append((line, not chrome))
+                    after.append(len(inside))
 
     def pop() -> None:
         nonlocal chrome, article
@@ -132,7 +143,7 @@ def page_lines(source: str) -> tuple[list[str], list[tuple[str, bool]]]:
         chrome += is_chrome
         article += is_article and not is_chrome
     flush()
-    return inside, outside
+    return inside, outside, after
 
 
 def _row(a: list[int], masks: dict[int, int], width: int) -> np.ndarray:
@@ -180,13 +191,20 @@ def common_lines(a: list, b: list) -> list[int]:
 
 
 def _finish(row: tuple, other: tuple | None) -> tuple:
-    _, _, _, page_id, url, article, lines, open_ = row
+    _, _, _, page_id, url, article, lines, open_, after = row
     shared: set[int] = set()
     if other is not None and other[6] != lines:  # a copy of the page says nothing about its template
         shared = set(common_lines(lines, other[6]))
-    if article is None:
-        article = "\n".join(x for i, x in enumerate(lines) if open_[i] and i not in shared)
-    return page_id, url, article, len(article), len(shared)
+    own = [i for i in range(len(lines)) if open_[i] and i not in shared]
+    if article and not shared:  # no template to tell the lines around the article from
+        own = []
+    text, done = [], 0
+    for i in own:
+        text += article[done : after[i]]
+        done = after[i]
+        text.append(lines[i])
+    whole = "\n".join(text + article[done:])
+    return page_id, url, whole, len(whole), len(shared)
 
 
 def extract_text(pages: DataFrame, rows_each: int = 250) -> DataFrame:
@@ -222,11 +240,11 @@ def extract_text(pages: DataFrame, rows_each: int = 250) -> DataFrame:
             for part in slices(batch, 2, 4_000_000):
                 rows = []
                 for page_id, url, source in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    inside, outside = page_lines(source)
+                    inside, outside, after = placed_lines(source)
                     host, key = key_of(page_id, url)
                     place = bisect.bisect_right(splits, key)
-                    own = ([x for x, _ in outside], [o for _, o in outside])
-                    rows.append((2 * place, key, host, page_id, url, "\n".join(inside) if inside else None, *own))
+                    own = ([x for x, _ in outside], [o for _, o in outside], after)
+                    rows.append((2 * place, key, host, page_id, url, inside, *own))
                     if key in starts:  # guest in the range before
                         rows.append((2 * (place - 1) + 1, key, host, None, None, None, *own))
                 yield pa.record_batch(
@@ -246,8 +264,8 @@ def extract_text(pages: DataFrame, rows_each: int = 250) -> DataFrame:
             near = before if before is not None and before[2] == held[2] and before[0] // 2 == held[0] // 2 else None
             yield _batch([_finish(held, near)])
 
-    schema = ("place long, key string, host string, page_id long, url string, article string, "
-              "lines array<string>, open array<boolean>")
+    schema = ("place long, key string, host string, page_id long, url string, article array<string>, "
+              "lines array<string>, open array<boolean>, after array<int>")
     dealt = some.mapInArrow(lines, schema).repartition(F.shiftright("place", 1))
     return dealt.sortWithinPartitions("place", "key", "article").mapInArrow(pair, _OUT)
 

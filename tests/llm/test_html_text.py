@@ -78,3 +78,17 @@ def test_nulls_copies_and_empty(spark):
         [("1", ""), ("None", ""), ("2", "a\nb"), ("2", "a\nb"), ("3", "a\nb")])
     assert max(r.n_chars for r in got) == 4 * 20_000 - 1
     assert extract_text(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_differencing_decides_lines_around_an_article(spark):
+    def body(k):
+        around = f"<div>Menu</div><div>standfirst {k}</div>", f"<div>note {k}</div><div>Imprint</div>"
+        return f"<html><body>{around[0]}<article><p>own {k}</p><p>licence</p></article>{around[1]}</body></html>"
+
+    rows = [(k, f"http://h/{k:02d}", body(k)) for k in range(20)]
+    rows.append((90, "http://alone/x", body(90)))  # nothing tells its menu from its text
+    # of another template than its neighbours: shares no line with them
+    rows += [(100 + k, f"http://other/{k}", f"<div>m{k}</div><article><p>own {k}</p></article>") for k in range(5)]
+    got = {r.page_id: r.text for r in extract_text(frame(spark, rows)).collect()}
+    assert all(got[k] == f"standfirst {k}\nown {k}\nlicence\nnote {k}" for k in range(20))
+    assert got[90] == "own 90\nlicence" and all(got[100 + k] == f"own {k}" for k in range(5))
