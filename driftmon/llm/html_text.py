@@ -14,6 +14,7 @@ its article) but not them.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -57,8 +58,9 @@ _SHORT = frozenset(["p", "li", "dt", "dd"])
 _ROWS = pa.schema([
     ("place", pa.int64()), ("key", pa.string()), ("host", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
     ("article", pa.list_(pa.string())), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())),
-    ("after", pa.list_(pa.int32())),
+    ("after", pa.list_(pa.int32())), ("digest", pa.binary()), ("guest", pa.bool_()),
 ])
+_MARKS = pa.schema([("place", pa.int64()), ("key", pa.string()), ("host", pa.string()), ("digest", pa.binary())])
 _OUT = "page_id long, url string, text string, n_chars long, shared_lines long"
 
 
@@ -191,10 +193,8 @@ def common_lines(a: list, b: list) -> list[int]:
 
 
 def _finish(row: tuple, other: tuple | None) -> tuple:
-    _, _, _, page_id, url, article, lines, open_, after = row
-    shared: set[int] = set()
-    if other is not None and other[6] != lines:  # a copy of the page says nothing about its template
-        shared = set(common_lines(lines, other[6]))
+    _, _, _, page_id, url, article, lines, open_, after, _, _ = row
+    shared = set(common_lines(lines, other[6])) if other is not None else set()
     own = [i for i in range(len(lines)) if open_[i] and i not in shared]
     if article and not shared:  # no template to tell the lines around the article from
         own = []
@@ -207,15 +207,54 @@ def _finish(row: tuple, other: tuple | None) -> tuple:
     return page_id, url, whole, len(whole), len(shared)
 
 
+def _digest(lines: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _borders(rows: list[tuple]) -> list[tuple]:
+    """Of a range's sorted rows (place, key, host, digest): the first and last, and those nearest to them that differ."""
+    first, last = rows[0], rows[-1]
+    differs = [next((r for r in some if r[2:] != some[0][2:]), None) for some in (rows, rows[::-1])]
+    return sorted({r for r in (first, last, *differs) if r is not None})
+
+
+def _guests(borders: list[tuple]) -> dict[tuple, list[int]]:
+    """(key, digest) of each page that another range needs, with those ranges.
+
+    A range needs, on either side, the nearest page of its border page's host
+    whose lines are not the border page's.
+    """
+    out: dict[tuple, list[int]] = {}
+    for rows in (borders, borders[::-1]):
+        place = run = differs = None  # the last row seen, and the nearest of its host before it with other lines
+        for row in rows:
+            if row[0] != place:
+                near = run if run is not None and run[3] != row[3] else differs
+                if near is not None and near[2] == row[2]:
+                    out.setdefault((near[1], near[3]), []).append(row[0])
+                place = row[0]
+            if run is None or row[2] != run[2]:
+                differs = None
+            elif row[3] != run[3]:
+                differs = run
+            run = row
+    return out
+
+
 def extract_text(pages: DataFrame, rows_each: int = 250) -> DataFrame:
     """page_id, url, text, n_chars (code points) and the number of lines shared with the neighbour.
 
     Input: ``page_id, url, html``; other columns are ignored.  Null or empty
     html gives an empty text, a null url is a host of its own, an empty table
-    an empty result.  A page's neighbour is the next one of its host in the
-    order of path, query and ``page_id``; the host's last page takes the one
-    before it, if that lies in the same range.  A page alone on its host has
-    none.  Repeated rows each give a row.
+    an empty result.  A page's neighbour is the next one of its host, in the
+    order of path, query and ``page_id``, whose lines outside an article differ
+    from its own (a copy says nothing about the template); where none follows,
+    the nearest one before.  A page with no such page on its host has none.
+    Repeated rows each give a row.
+
+    Pages are dealt in ranges.  A first pass finds the pages at the borders,
+    and those that the range beside (or one further away, past copies) needs
+    go there as guests.
     """
     def key_of(page_id, url: str | None) -> tuple[str, str]:
         try:
@@ -233,7 +272,35 @@ def extract_text(pages: DataFrame, rows_each: int = 250) -> DataFrame:
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).alias("html"))
     splits = range_splits(some.select("page_id", "url").mapInArrow(keys, "key string"), "key", rows_each)
-    starts = set(splits)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, 4_000_000):
+                rows = []
+                for page_id, url, source in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    host, key = key_of(page_id, url)
+                    rows.append((bisect.bisect_right(splits, key), key, host, _digest([x for x, _ in page_lines(source)[1]])))
+                yield _records(rows, _MARKS)
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    out += _borders(held)
+                    held = []
+                if not held or row != held[-1]:
+                    held.append(row)
+            yield _records(out, _MARKS)
+        if held:
+            yield _records(_borders(held), _MARKS)
+
+    guests: dict[tuple, list[int]] = {}
+    if splits:
+        narrow = "place long, key string, host string, digest binary"
+        found = some.mapInArrow(marks, narrow).repartition("place").sortWithinPartitions("place", "key", "digest")
+        guests = _guests(sorted((r[0], r[1], r[2], bytes(r[3])) for r in found.mapInArrow(borders, narrow).collect()))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,31 +310,43 @@ def extract_text(pages: DataFrame, rows_each: int = 250) -> DataFrame:
                     inside, outside, after = placed_lines(source)
                     host, key = key_of(page_id, url)
                     place = bisect.bisect_right(splits, key)
-                    own = ([x for x, _ in outside], [o for _, o in outside], after)
-                    rows.append((2 * place, key, host, page_id, url, inside, *own))
-                    if key in starts:  # guest in the range before
-                        rows.append((2 * (place - 1) + 1, key, host, None, None, None, *own))
-                yield pa.record_batch(
-                    [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+                    digest = _digest([x for x, _ in outside])
+                    own = ([x for x, _ in outside], [o for _, o in outside], after, digest)
+                    rows.append((place, key, host, page_id, url, inside, *own, False))
+                    rows += [(p, key, host, None, None, None, *own, True) for p in guests.get((key, digest), ())]
+                yield _records(rows, _ROWS)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = held = None
+        run: list[list] = []  # rows with the same lines that wait for the next page with others, and how often each occurs
+        last = before = None  # the last row of all, and the nearest before the run that the run may take
+
+        def finished(near: tuple | None) -> list[tuple]:
+            return [x for row, times in run for x in [_finish(row, near)] * times]
+
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is not None and held[0] % 2 == 0:
-                    near = [x for x in (row, before) if x is not None and x[2] == held[2] and x[0] // 2 == held[0] // 2]
-                    out.append(_finish(held, near[0] if near else None))
-                before, held = held, row
+                beside = last is not None and (row[0], row[2]) == (last[0], last[2])
+                if not beside or row[9] != last[9]:
+                    out += finished(row if beside else before)
+                    run, before = [], last if beside else None
+                if run and run[-1][0] == row:
+                    run[-1][1] += 1
+                elif not row[10]:
+                    run.append([row, 1])
+                last = row
             yield _batch(out)
-        if held is not None and held[0] % 2 == 0:
-            near = before if before is not None and before[2] == held[2] and before[0] // 2 == held[0] // 2 else None
-            yield _batch([_finish(held, near)])
+        yield _batch(finished(before))
 
     schema = ("place long, key string, host string, page_id long, url string, article array<string>, "
-              "lines array<string>, open array<boolean>, after array<int>")
-    dealt = some.mapInArrow(lines, schema).repartition(F.shiftright("place", 1))
-    return dealt.sortWithinPartitions("place", "key", "article").mapInArrow(pair, _OUT)
+              "lines array<string>, open array<boolean>, after array<int>, digest binary, guest boolean")
+    dealt = some.mapInArrow(lines, schema).repartition("place")
+    return dealt.sortWithinPartitions("place", "key", "digest", "article").mapInArrow(pair, _OUT)
+
+
+def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -92,3 +92,18 @@ def test_differencing_decides_lines_around_an_article(spark):
     got = {r.page_id: r.text for r in extract_text(frame(spark, rows)).collect()}
     assert all(got[k] == f"standfirst {k}\nown {k}\nlicence\nnote {k}" for k in range(20))
     assert got[90] == "own 90\nlicence" and all(got[100 + k] == f"own {k}" for k in range(5))
+
+
+def test_every_page_meets_the_nearest_one_that_differs(spark):
+    rows, want = [], {}
+    for h in range(4):
+        for k in range(60):
+            n = k - k % 30 if h % 2 else k  # hosts 1 and 3: runs of 30 copies under other query strings
+            body = [f"story {h} {n} line {j}" for j in range(3)]
+            rows.append((1000 * h + k, f"http://h{h}.example/a?x={k:03d}", plain([f"Menu of {h}", *body, f"Imprint {h}"])))
+            want[1000 * h + k] = "\n".join(body)
+    rows += rows[45:50]  # repeated rows
+    for each in (1, 7, 1000):
+        got = extract_text(frame(spark, rows), rows_each=each).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+        assert all(r.shared_lines == 2 for r in got)
