@@ -242,6 +242,8 @@ def features(words: pa.Array) -> list[pa.Array]:
 # --- learning ---------------------------------------------------------------
 
 
+#: Toxic labelled documents that a feature of the lexicon is in, at least.
+LEAST_TOXIC = 3
 #: Least lift, in nats, of a feature in the lexicon.
 LEAST_LIFT = 1.0
 #: What the curve is fitted on: a document's three strongest words and the log of all its weights.
@@ -287,9 +289,15 @@ def evidence(sample: DataFrame, model) -> DataFrame:
     return found.groupBy("feature", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """Both folds' rows of each feature that LEAST_TOXIC toxic documents of the two folds together have."""
+    each = counts.groupBy("feature").agg(F.collect_list(F.struct("fold", "toxic", "n")).alias("folds"), F.sum("toxic").alias("toxic"))
+    return each.where(F.col("toxic") >= LEAST_TOXIC).select("feature", F.inline("folds"))
+
+
 def lexicon_of(counts, prior: float) -> dict[str, float]:
     """How far the log odds of toxicity, at the lower bound of its share, lie above the prior's; large ones only."""
-    counts = counts[counts["toxic"] >= 3]
+    counts = counts[counts["toxic"] >= LEAST_TOXIC]
     if not len(counts) or not 0 < prior < 1:
         return {}
     low = lower_bound(counts["toxic"].to_numpy(float), counts["n"].to_numpy(float))
@@ -368,7 +376,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     chosen = chosen.where(bucket != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = materialise(chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "chosen")
     sample = materialise(some.join(F.broadcast(chosen), "doc_id").select("text", "label", "fold"), "sample")
-    counts = evidence(sample, model).where("toxic >= 2").toPandas()
+    counts = frequent(evidence(sample, model)).toPandas()
     seen = sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("t")).toPandas()
     prior = float(seen["t"].sum() / max(1, seen["n"].sum())) if len(seen) else 0.0
 

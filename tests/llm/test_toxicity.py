@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftmon.llm import toxicity as T
 
@@ -90,3 +91,16 @@ def test_messy_rows_and_no_labels(spark, messy, no_docs):
         out = T.score_toxicity(messy, labels).collect()
         assert len(out) == len(MESSY) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert T.score_toxicity(no_docs, none).count() == 0
+
+
+def test_evidence_counts_over_both_folds(spark):
+    fold = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold")
+    ids = [(r.id, r.fold) for r in spark.range(300).select("id", fold).collect() if zlib.crc32(str(r.id).encode()) % 5]
+    of = [[i for i, k in ids if k == fold] for fold in (0, 1)]
+    toxic = {i: "zorgle" for i in (*of[0][:2], of[1][0])} | {i: "blimp" for i in of[0][2:5]}
+    clean = {i: "blimp" for i in of[1][10:30]} | {i: "river" for i in (*of[0][30:45], *of[1][30:45])}
+    rows = [(i, f"quiet garden {w}") for i, w in (toxic | clean).items()] + [(1000, "some zorgle here"), (1001, "some blimp here")]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in toxic | clean], "doc_id long, toxic int")
+    first = {r.doc_id: r["first"] for r in T.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert first[1000] > 0  # three toxic documents of three, two in one fold and one in the other
+    assert first[1001] == 0  # three toxic in one fold, twenty others in the other
