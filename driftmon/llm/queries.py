@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import chat, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, toxicity, warc
+from driftmon.llm import chat, conversation_repair, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, toxicity, warc
 from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
@@ -90,3 +90,8 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op11_conversation_repair", conversation_repair.OP11_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
