@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmon.llm import chat, conversation_repair, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, spelling, toxicity, warc
+from driftmon.llm import chat, conversation_repair, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, simhash, spelling, toxicity, warc
 from driftmon.llm.common import materialise
 from driftmon.sources.tables import read_table
 
@@ -100,3 +100,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants", spelling.OP12_SQL)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
