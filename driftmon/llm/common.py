@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,18 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return at.withColumn("position", table[part] + within).drop("_at")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in ``gone`` (one column of ids), with all their columns.
+
+    The rows go through the join as one struct, so no column's name can clash.
+    """
+    row, own, other = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    whole = docs.select(F.col("doc_id").cast("long").alias(own), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
+    ids = gone.select(F.col(gone.columns[0]).alias(other))
+    kept = whole.join(ids, F.col(own) == F.col(other), "left_anti")
+    return kept.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
+
+
 def range_splits(df: DataFrame, key: str, rows_each: int, most: int = 16384) -> list:
     """Sorted, distinct key values that cut ``df`` into ranges of about ``rows_each`` rows.
 

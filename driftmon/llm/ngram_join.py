@@ -2,16 +2,17 @@
 
 Documents with the same set of word n-grams are one class.  A class posts only
 its prefix: so many of its rarest n-grams that two sets alike enough must share
-one of them.  Classes that meet on a prefix n-gram pass a length filter, a
-positional filter and a suffix filter (how their n-grams spread over fixed
-parts of the hash space bounds the overlap) before a pair is verified on the
-whole sets, at most once.
-
-Only components are asked for, so pairs inside a component that is already
-known need no check.  First every class on a list meets the list's leader;
-what that links is one component, and lists that still hold several go another
-round with other leaders.  In the end all pairs of classes that share a list
-and not a component are checked, so no link between components is lost.
+one of them.  Rarity is told by a sketch of how many classes have an n-gram; one
+that a single class has is not posted at all.  Classes that meet on a prefix
+n-gram pass a length filter, a positional filter and a suffix filter (how their
+n-grams spread over fixed parts of the hash space bounds the overlap) before a
+pair is verified on the whole sets, made again from the two texts.
+
+Only components are asked for, so pairs inside a known component need no check.
+First every class meets one leader that most of its lists propose; what that
+links is one component, and lists that still hold several propose other leaders.
+Then every pair of classes that share a list and not a component, and that pass
+all filters, is verified, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,28 +25,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmon.llm.common import materialise
+from driftmon.llm.common import materialise, without
 from driftmon.llm.components import connected_components
 from driftmon.llm.words import slices, split_words
 
 #: Defaults of near-duplicate work; (80, 100) is a similarity of 0.8.
 WORDS, ALIKE = 5, (80, 100)
-#: Counters of the frequency sketch for each document, and their bounds (a broadcast of one byte each).
-PER_DOCUMENT, FEWEST, MOST = 16, 1 << 16, 1 << 24
-#: Counters in one part of the sketch on its way to the driver.
-PART = 1 << 16
+#: Counters of the frequency sketch for each class, and their bounds (a broadcast of half a byte each).
+PER_CLASS, FEWEST, MOST = 256, 1 << 18, 1 << 25
+#: Counters, or bits of a filter, in one part on the way to the driver.
+PART = 1 << 18
 #: Parts of the hash space that the suffix filter compares.
 PARTS = 64
-#: Rounds of leaders at most before all remaining pairs are checked.
-ROUNDS = 2
-#: Bits of an n-gram's hash below the byte that holds its frequency.
-_HASH_BITS = np.uint64(56)
+#: Rounds of leaders before all remaining pairs are checked, and leaders that a list proposes in a round.
+ROUNDS, LEADERS = 2, 4
+#: Postings of one list that are looked at together, at most; longer lists are split into blocks that meet each other.
+LONGEST = 4_096
+#: Members that a leader meets in one task, about.
+MEMBERS = 1_000
+#: Bits of the filter that finds texts again for each class, and their bounds (a broadcast).
+BITS, FEWEST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+#: Bytes of text that are cut into words at a time.
+SLICE = 3_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Slots of the filter that finds candidates' texts again.
-_SLOTS = 1 << 23
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -81,226 +86,350 @@ def ngram_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h[pick]), upto
 
 
-def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """For each counter how often its n-grams occur in all texts, in quarter powers of two (one byte).
-
-    There are the more counters the more documents, up to a bound, so what many
-    documents share stands out from what happens to meet on a counter.
-    """
-    counters = FEWEST
-    wanted = min(MOST, docs.count() * PER_DOCUMENT)
-    while counters < wanted:
-        counters *= 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.int32)
-        for batch in batches:
-            for part in slices(batch, 0):
-                h, _ = ngram_hashes(part.column(0), words)
-                total += np.bincount((h & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.int32)
-        parts = [zlib.compress(total[k : k + PART].tobytes(), 1) for k in range(0, counters, PART)]
-        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PART, np.int64)
-        for batch in batches:
-            for counts in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
-        level = np.minimum(np.floor(4 * np.log2(total + 1)), 255).astype(np.uint8)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
-
-    found = docs.select("text").mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
-    out = np.zeros(counters, np.uint8)
-    for r in found.collect():
-        out[r["chunk"] * PART : (r["chunk"] + 1) * PART] = np.frombuffer(bytes(r["level"]), np.uint8)
-    return out
-
-
-def _sets(texts: pa.Array, words: int, level: np.ndarray) -> Iterator[np.ndarray]:
-    """Each text's distinct n-grams, rarest first: the frequency's byte above the hash."""
+def _distinct(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Each text's distinct n-grams, sorted."""
     h, upto = ngram_hashes(texts, words)
-    key = (level[(h & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64) << _HASH_BITS) | (h >> np.uint64(8))
     begin = 0
     for end in upto.tolist():
-        one = np.sort(key[begin:end])
+        one = np.sort(h[begin:end])
         if len(one) > 1:
             one = one[np.concatenate([[True], one[1:] != one[:-1]])]
         yield one
         begin = end
 
 
+def _set_key(one: np.ndarray) -> bytes:
+    return hashlib.blake2b(one.tobytes(), digest_size=16).digest()
+
+
 def prefix_length(n: int, alike: tuple[int, int]) -> int:
     num, den = alike
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def _slot(doc_id: int | None) -> int:
-    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True)) % _SLOTS
+def class_features(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, set_key of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                n, key = [], []
+                for one in _distinct(part.column(1), words):
+                    n.append(len(one))
+                    key.append(_set_key(one))
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n", "set_key"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary")
+
+
+def _power(wanted: int, fewest: int, most: int) -> int:
+    n = fewest
+    while n < min(wanted, most):
+        n *= 2
+    return n
+
+
+def _slot(doc_id: int | None, bits: int) -> int:
+    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True)) % bits
+
+
+def _together(parts: DataFrame, add, size: int) -> bytes:
+    """One array from ``parts (chunk, part)``: the parts of a chunk are added in Spark, the driver lays chunks in a row."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = add(zlib.decompress(x.as_py()) for batch in batches for x in batch.column("part"))
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([done], pa.binary())], names=["chunk", "part"])
+
+    found = parts.groupBy("chunk").applyInArrow(run, "chunk int, part binary").collect()
+    chunks = {r["chunk"]: bytes(r["part"]) for r in found}
+    one = len(next(iter(chunks.values()))) if chunks else 0
+    return b"".join(chunks.get(k, bytes(one)) for k in range(size)) if one else b""
 
 
-def class_features(docs: DataFrame, words: int, alike: tuple[int, int], level) -> DataFrame:
-    """doc_id, n, set_key, prefix, spread, slot of each document."""
+def id_filter(ids: DataFrame, n: int) -> tuple[int, bytes]:
+    """A filter of bounded size on ``doc_id``: its bits, and how many they are."""
+    bits = _power(n * BITS, FEWEST_BITS, MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(level.value, np.uint8)
+        own = np.zeros(bits, bool)
         for batch in batches:
-            for part in slices(batch, 1):
-                n, key, prefix, spread, slot = [], [], [], [], []
-                for one, doc in zip(_sets(part.column(1), words, own), part.column(0).to_pylist(), strict=True):
-                    n.append(len(one))
-                    key.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
-                    prefix.append(one[: prefix_length(len(one), alike)].view(np.int64))
-                    places = ((one << np.uint64(8)) >> np.uint64(58)).astype(np.int64)
-                    spread.append(np.minimum(np.bincount(places, minlength=PARTS), 127).astype(np.int8))
-                    slot.append(_slot(doc))
-                yield pa.record_batch(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
-                     pa.array(spread, pa.list_(pa.int8())), pa.array(slot, pa.int32())],
-                    names=["doc_id", "n", "set_key", "prefix", "spread", "slot"])
+            own[[_slot(d, bits) for d in batch.column(0).to_pylist()]] = True
+        for k in range(0, bits, PART):
+            if own[k : k + PART].any():
+                part = zlib.compress(np.packbits(own[k : k + PART], bitorder="little").tobytes(), 1)
+                yield pa.record_batch([pa.array([k // PART], pa.int32()), pa.array([part], pa.binary())], names=["chunk", "part"])
+
+    def add(parts: Iterator[bytes]) -> bytes:
+        total = np.zeros(PART // 8, np.uint8)
+        for p in parts:
+            total |= np.frombuffer(p, np.uint8)
+        return total.tobytes()
+
+    return bits, _together(ids.select("doc_id").mapInArrow(run, "chunk int, part binary"), add, bits // PART)
+
+
+def _chosen(batch: pa.RecordBatch, wanted: tuple[int, bytes]) -> pa.RecordBatch:
+    """The rows of ``batch`` (doc_id, text) whose id passes the filter."""
+    bits, own = wanted[0], np.frombuffer(wanted[1], np.uint8)
+    if not len(own):
+        return batch.slice(0, 0)
+    slot = np.array([_slot(d, bits) for d in batch.column(0).to_pylist()], np.int64)
+    return batch.filter(pa.array((own[slot >> 3] >> (slot & 7)) & 1 == 1, pa.bool_()))
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """0, 1 and 2 as they are, then one more for each doubling, up to 15."""
+    return np.where(counts < 3, counts, np.minimum(15, 2 + np.ceil(np.log2(np.maximum(counts, 2))) - 1)).astype(np.uint8)
+
+
+def frequency_sketch(docs: DataFrame, wanted, classes: int, words: int) -> tuple[int, bytes]:
+    """How many classes have the n-grams of each counter, in doublings (half a byte each).
+
+    One text of each class is counted.  There are the more counters the more
+    classes, up to a bound.
+    """
+    counters = _power(classes * PER_CLASS, FEWEST, MOST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.uint16)
+        for batch in batches:
+            for part in slices(_chosen(batch, wanted.value), 1, SLICE):
+                each = [one & np.uint64(counters - 1) for one in _distinct(part.column(1), words)]
+                at, n = np.unique(np.concatenate(each), return_counts=True)
+                total[at] = np.minimum(total[at].astype(np.int64) + n, 65_535)
+        for k in range(0, counters, PART):
+            own = total[k : k + PART]
+            if own.any():
+                yield pa.record_batch([pa.array([k // PART], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["chunk", "part"])
+
+    def add(parts: Iterator[bytes]) -> bytes:
+        total = np.zeros(PART, np.int64)
+        for p in parts:
+            total += np.frombuffer(p, np.uint16)
+        level = _level(total)
+        return (level[::2] | level[1::2] << 4).tobytes()
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, spread array<byte>, slot int")
+    return counters, _together(docs.select("doc_id", "text").mapInArrow(run, "chunk int, part binary"), add, counters // PART)
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, words: int, level) -> DataFrame:
-    """rep, keys: the whole set of each of ``classes (rep, set_key, slot)``, 5 bytes of hash an n-gram.
+def class_prefixes(docs: DataFrame, wanted, level, words: int, alike: tuple[int, int]) -> DataFrame:
+    """set_key, prefix (n-grams that several classes may have), places of these in the rare-first order, spread."""
 
-    The texts are found again by a filter of bounded size on the ids, before
-    they are cut into words; what it lets through by chance falls out in the join.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, packed = level.value
+        own = np.frombuffer(packed, np.uint8)
+        for batch in batches:
+            for part in slices(_chosen(batch, wanted.value), 1, SLICE):
+                key, prefix, place, spread = [], [], [], []
+                for one in _distinct(part.column(1), words):
+                    if not len(one):
+                        continue
+                    at = (one & np.uint64(counters - 1)).astype(np.int64)
+                    rare = (own[at >> 1] >> (4 * (at & 1)).astype(np.uint8)) & 15
+                    order = np.argsort(rare, kind="stable")[: prefix_length(len(one), alike)]
+                    shared = np.flatnonzero(rare[order] > 1)
+                    key.append(_set_key(one))
+                    prefix.append(one[order[shared]].view(np.int64))
+                    place.append(shared.astype(np.int32))
+                    spread.append(np.minimum(np.bincount((one >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(place, pa.list_(pa.int32())),
+                                       pa.array(spread, pa.binary())], names=["set_key", "prefix", "place", "spread"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, prefix array<long>, place array<int>, spread binary")
+
+
+def class_texts(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """rep, text of each of ``classes (rep, set_key, doc_id)``.
+
+    The texts are found again by a filter of bounded size on the ids; what it
+    lets through by chance falls out in the join.
     """
-    slots = np.zeros(_SLOTS // 8, np.uint8)
-    for r in classes.select("slot").distinct().toLocalIterator():
-        slots[r[0] >> 3] |= 1 << (r[0] & 7)
-    wanted = docs.sparkSession.sparkContext.broadcast(slots.tobytes())
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(classes, classes.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(level.value, np.uint8)
-        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            slot = [_slot(d) for d in batch.column(0).to_pylist()]
-            some = batch.filter(pa.array([bool(bits[s >> 3] >> (s & 7) & 1) for s in slot], pa.bool_()))
-            for part in slices(some, 1, 4_000_000):
-                key, keys = [], []
-                for one in _sets(part.column(1), words, own):
-                    key.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
-                    short = np.sort(one & np.uint64((1 << 40) - 1))
-                    keys.append(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(keys, pa.binary())], names=["set_key", "keys"])
+            for part in slices(_chosen(batch, wanted.value), 1, SLICE):
+                key = [_set_key(one) for one in _distinct(part.column(1), words)]
+                yield pa.record_batch([pa.array(key, pa.binary()), part.column(0), part.column(1).cast(pa.string())], names=["set_key", "doc_id", "text"])
 
-    found = docs.mapInArrow(run, "set_key binary, keys binary")
-    return found.join(classes.select("rep", "set_key"), "set_key").dropDuplicates(["rep"]).select("rep", "keys")
+    found = docs.select("doc_id", "text").mapInArrow(run, "set_key binary, doc_id long, text string")
+    same = (F.col("set_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    named = classes.select("rep", F.col("set_key").alias("own_key"), F.col("doc_id").alias("own_id"))
+    return found.join(named, same).dropDuplicates(["rep"]).select("rep", "text")
 
 
-def _overlap_needed(na: Column, nb: Column, alike: tuple[int, int]) -> Column:
+def _needed(na: np.ndarray, nb: np.ndarray, alike: tuple[int, int]) -> np.ndarray:
     num, den = alike
-    return F.ceil(num * (na + nb) / F.lit(num + den)).cast("long")
+    return -(-num * (na + nb) // (num + den))
 
 
-def _could_match(alike: tuple[int, int]) -> Column:
-    """Length and positional filter on a pair of postings (n, pos and n_b, pos_b; pos counts from 0)."""
+def _could_link(rows: dict, a: np.ndarray, b: np.ndarray, alike: tuple[int, int]) -> np.ndarray:
+    """Which postings at ``a`` and ``b`` are of different components and pass the length, positional and suffix filters."""
     num, den = alike
-    na, nb, i, j = (F.col(c) for c in ("n", "n_b", "pos", "pos_b"))
-    long_enough = F.lit(den) * F.least(na, nb) >= F.lit(num) * F.greatest(na, nb)
-    most = F.least(i, j) + F.least(na - i, nb - j)
-    return long_enough & (most >= _overlap_needed(na, nb, alike))
+    n, pos = rows["n"], rows["pos"]
+    na, nb = n[a], n[b]
+    ok = (rows["label"][a] != rows["label"][b]) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+    need = _needed(na, nb, alike)
+    ok &= np.minimum(pos[a], pos[b]) + np.minimum(na - pos[a], nb - pos[b]) >= need
+    some = np.flatnonzero(ok)
+    for k in range(0, len(some), 20_000):
+        at = some[k : k + 20_000]
+        apart = np.abs(rows["spread"][a[at]].astype(np.int16) - rows["spread"][b[at]]).sum(1)
+        ok[at] = apart <= na[at] + nb[at] - 2 * need[at]
+    return ok
+
+
+def _proposals(rows: dict, begin: np.ndarray, size: np.ndarray, alike: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of (leader, member): a list's first posting leads, those that may link with it follow, the rest go on."""
+    left = np.arange(int(size.sum()))
+    of = np.repeat(np.arange(len(size)), size)
+    for _ in range(LEADERS):
+        first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+        leader = left[first][np.cumsum(first) - 1] if len(of) else left
+        member = ~first
+        ok = np.zeros(len(left), bool)
+        ok[member] = _could_link(rows, leader[member], left[member], alike)
+        yield leader[ok], left[ok]
+        rest = member & ~ok
+        left, of = left[rest], of[rest]
+        if not len(left):
+            return
+
+
+def _all_pairs(rows: dict, begin: np.ndarray, size: np.ndarray, alike: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a list that may link."""
+    end = np.repeat(begin + size, size)
+    at = np.arange(len(end))
+    step = 1
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            return
+        ok = _could_link(rows, at, at + step, alike)
+        if ok.any():
+            yield at[ok], at[ok] + step
+        step += 1
 
 
-def _could_overlap(alike: tuple[int, int]) -> Column:
-    """Suffix filter: the parts' differences are n-grams that the sets do not share."""
-    apart = F.aggregate(F.zip_with("spread", "spread_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    return apart <= F.col("n") + F.col("n_b") - 2 * _overlap_needed(F.col("n"), F.col("n_b"), alike)
+def meetings(lists: DataFrame, alike: tuple[int, int], leaders: int | None) -> DataFrame:
+    """a, b, k: classes of different components that pass all filters on ``k`` of the lists they share.
 
+    ``lists`` has token, rep, n, pos, label, spread.  With ``leaders`` (the
+    round's number) a list proposes a few leaders, in an order by hash that all
+    lists share, and each member goes to the first it may link with; else all pairs.
+    """
+    sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / LONGEST).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = materialise(sizes, "long-lists")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(block, o) * F.col("blocks") + F.greatest(block, o))
+    cell = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(meet)).alias("cell")
+    placed = lists.join(sizes, "token", "left").select("token", cell, "rep", "n", "pos", "label", "spread",
+                                                       F.xxhash64(F.lit(leaders or 0), "rep").alias("turn"))
 
-def verified(pairs: DataFrame, sets: DataFrame, alike: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ``pairs (a, b, n, n_b)`` that are alike, on their whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 100_000:
+                found, rest = _meet(held, False)
+                yield from found
+                held, rows = [rest], rest.num_rows
+        if held:
+            yield from _meet(held, True)[0]
+
+    def _meet(held: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        batch = table.to_batches()[0] if table.num_rows else held[0]
+        col = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name != "spread"}
+        new = np.concatenate([[True], (np.diff(col["token"]) != 0) | (np.diff(col["cell"]) != 0)])[: batch.num_rows]
+        begin = np.flatnonzero(new)
+        until = batch.num_rows if last or not len(begin) else int(begin[-1])
+        begin = begin if last else begin[:-1]
+        if not len(begin):
+            return [], batch.slice(until)
+        own = {name: c[:until] for name, c in col.items()}
+        spread = batch.column(batch.schema.get_field_index("spread")).slice(0, until)
+        own["spread"] = np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, PARTS)
+        size = np.diff(np.append(begin, until))
+        find = _all_pairs if leaders is None else _proposals
+        pairs = [(own["rep"][a], own["rep"][b]) for a, b in find(own, begin, size, alike) if len(a)]
+        if not pairs:
+            return [], batch.slice(until)
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        if leaders is None:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        pair, k = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
+        return [pa.record_batch([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(k)], names=["a", "b", "k"])], batch.slice(until)
+
+    found = placed.repartition("token", "cell").sortWithinPartitions("token", "cell", "turn", "rep").mapInArrow(run, "a long, b long, k long")
+    return found.groupBy("a", "b").agg(F.sum("k").alias("k"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that are alike, on the whole sets of their ``texts (rep, text)``.
+
+    A leader's text goes once to each task that verifies some of its pairs.
+    """
     num, den = alike
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.select("a", "b").join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    members = dealt.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("rep", "a"), "a")
+    heads = heads.select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wide(keys: bytes) -> np.ndarray:
-            out = np.zeros((len(keys) // 5, 8), np.uint8)
-            out[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
-            return out.view("<u8").reshape(-1)
-
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            link = []
-            for n, nb, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                both = np.sort(np.concatenate([wide(x), wide(y)]), kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                link.append(den * shared >= num * (n + nb - shared))
-            some = batch.filter(pa.array(link, pa.bool_()))
-            yield pa.record_batch([some.column(0), some.column(1)], names=["a", "b"])
-
-    first = pairs.join(sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b")), "b")
-    second = first.join(sets.select(F.col("rep").alias("a"), "keys"), "a").select("a", "b", "n", "n_b", "keys", "keys_b")
-    return second.mapInArrow(run, "a long, b long")
-
-
-def class_links(docs: DataFrame, features: DataFrame, reps: DataFrame, words: int, alike: tuple[int, int], level) -> DataFrame:
-    """Component labels ``node, label`` of the classes that are linked with another."""
-    posted = features.join(reps.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(
-        F.col("row").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    live = posted.withColumn("on_list", F.count("*").over(by_token)).where("on_list > 1").drop("on_list")
-    live = materialise(live, "postings")
-
-    about = features.select(F.col("row").alias("rep"), "spread", "slot", "set_key")
-    classes = live.select("rep").distinct().join(about, "rep")
-    classes = materialise(classes, "candidates")
-    sets = None
-    links, tried, labels = None, None, None
-    lists, turn = live, 0
-    while True:
-        leaders = turn < ROUNDS
-        if leaders:
-            # one leader for all lists at first, so small groups meet one document; then another on every list
-            rank = F.xxhash64(F.lit(turn), "rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep", "token")
-            first = F.first(F.struct("rep", "n", "pos", *(["label"] if labels is not None else []))).over(
-                Window.partitionBy("token").orderBy(rank, "rep"))
-            met = lists.withColumn("leader", first).select(
-                F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.n").alias("n"), F.col("n").alias("n_b"),
-                F.col("leader.pos").alias("pos"), F.col("pos").alias("pos_b"),
-                *([(F.col("leader.label") != F.col("label")).alias("apart")] if labels is not None else [F.lit(True).alias("apart")]))
-            met = met.where(F.col("apart") & (F.col("a") != F.col("b")) & _could_match(alike))
-            met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                             F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("n_b")).alias("n"),
-                             F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n")).alias("n_b")).distinct()
-            met = met.join(classes.select(F.col("rep").alias("a"), "spread"), "a").join(
-                classes.select(F.col("rep").alias("b"), F.col("spread").alias("spread_b")), "b")
-            pairs = met.where(_could_overlap(alike)).select("a", "b", "n", "n_b")
-        else:
-            full = lists.join(classes.select("rep", "spread"), "rep")
-            other = full.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
-                                F.col("spread").alias("spread_b"), F.col("label").alias("label_b"))
-            same = full.withColumnRenamed("rep", "a").join(other, "token").where(
-                (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & _could_match(alike) & _could_overlap(alike))
-            pairs = same.select("a", "b", "n", "n_b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"pairs-{turn}")
+            for some in slices(batch, 4, SLICE):
+                a, b = [], []
+                for one, x, kind, y in zip(_distinct(some.column(4), words), *(some.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    if kind == 0:
+                        own = one
+                        continue
+                    both = np.sort(np.concatenate([own, one]), kind="stable")
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if den * shared >= num * (len(own) + len(one) - shared):
+                        a.append(x)
+                        b.append(y)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def class_links(docs: DataFrame, reps: DataFrame, words: int, alike: tuple[int, int]) -> DataFrame | None:
+    """Component labels ``node, label`` of the classes that are linked with another; None if there are none."""
+    sc = docs.sparkSession.sparkContext
+    n = reps.count()
+    if not n:
+        return None
+    wanted = sc.broadcast(id_filter(reps, n))
+    level = sc.broadcast(frequency_sketch(docs, wanted, n, words))
+    prefixes = class_prefixes(docs, wanted, level, words, alike).join(reps.select("rep", "set_key", "n"), "set_key").dropDuplicates(["rep"])
+    prefixes = materialise(prefixes.select("rep", "n", "prefix", "place", "spread"), "prefixes")
+    posted = prefixes.select("rep", "n", F.explode(F.arrays_zip("place", "prefix")).alias("at"), "spread").select(
+        F.col("at.prefix").alias("token"), "rep", "n", F.col("at.place").cast("long").alias("pos"), "spread")
+    shared = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    lists = materialise(posted.join(shared, "token", "left_semi").withColumn("label", F.col("rep")), "lists")
+    links = labels = None
+    for turn in (*range(ROUNDS), None):
+        met = meetings(lists, alike, turn)
+        if turn is not None:  # one leader for each class, the one that most of its lists propose
+            met = met.groupBy("b").agg(F.max(F.struct("k", F.xxhash64("a").alias("rank"), "a")).alias("best")).select("best.a", "b")
+        pairs = materialise(met.select("a", "b"), "pairs")
         if not pairs.isEmpty():
-            if sets is None:
-                sets = materialise(class_sets(docs, classes, words, level), "sets")
-            new = materialise(verified(pairs, sets, alike), f"links-{turn}")
+            some = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+            texts = materialise(class_texts(docs, materialise(reps.join(some, "rep", "left_semi"), "met"), words), "texts")
+            new = materialise(verified(pairs, texts, words, alike), "links")
             links = new if links is None else links.unionByName(new)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if links is None or links.isEmpty():
-            labels = None
-            lists_ = live.withColumn("label", F.col("rep"))
-        else:
-            labels = materialise(connected_components(links), f"classes-{turn}")
-            lists_ = live.join(labels, F.col("rep") == F.col("node"), "left").withColumn(
-                "label", F.coalesce("label", "rep")).drop("node")
-        if not leaders:
-            return labels
-        mixed = lists_.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token))
-        lists = materialise(mixed.where("low <> high").drop("low", "high"), f"lists-{turn}")
-        per = lists.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(
-            F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
-        left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not left["rows"]:
-            return labels
-        if labels is None:
-            labels = lists.select(F.col("rep").alias("node"), "label").distinct()
-        turn = turn + 1 if left["pairs"] > 2 * left["rows"] and turn + 1 < ROUNDS else ROUNDS
+            labels = materialise(connected_components(links), "components")
+            if turn is not None:
+                of = labels.select(F.col("node").alias("rep"), F.col("label").alias("now"))
+                own = lists.join(of, "rep", "left").withColumn("label", F.coalesce("now", "rep")).drop("now")
+                mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+                lists = materialise(own.join(mixed, "token", "left_semi"), "lists")
+    return labels
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, alike: tuple[int, int] = ALIKE) -> DataFrame:
@@ -317,15 +446,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, alike: tuple[int, in
     the component's least id, null if no row has one.  An empty table gives an
     empty result.
     """
-    sc = docs.sparkSession.sparkContext
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    level = sc.broadcast(frequency_sketch(some, words).tobytes())
-    features = class_features(some, words, alike, level).withColumn("row", F.monotonically_increasing_id())
-    features = materialise(features, "features")
+    features = materialise(class_features(some, words).withColumn("row", F.monotonically_increasing_id()), "features")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    reps = features.where("n > 0").groupBy("set_key").agg(best.alias("best"))
-    reps = materialise(reps.select("set_key", F.col("best.row").alias("rep"), F.col("best.doc_id").alias("least")), "classes")
-    labels = class_links(some, features, reps, words, alike, level)
+    reps = features.where("n > 0").groupBy("set_key", "n").agg(best.alias("best"))
+    reps = materialise(reps.select("set_key", "n", F.col("best.row").alias("rep"), F.col("best.doc_id").alias("doc_id")), "classes")
+    labels = class_links(some, reps, words, alike)
+    reps = reps.withColumnRenamed("doc_id", "least")
     if labels is not None:
         reps = reps.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("label", "rep"))
     least = materialise(reps.groupBy("rep").agg(F.min("least").alias("component_id")), "least")
@@ -337,13 +464,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, alike: tuple[int, in
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """The rows of ``docs`` with the least ``doc_id`` of their component, with all their columns.
+    """The rows of ``docs`` with the least ``doc_id`` of their component, with all their columns, whatever their names.
 
     Rows without an id stay; of an id that occurs in several rows, all or none do.
     """
-    gone = jaccard_components(docs, words, alike).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    gone = materialise(gone, "near-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone = jaccard_components(docs, words, alike).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return without(docs, materialise(gone, "near-copies"))
 
 
 OP5_SQL = r"""
@@ -360,7 +486,7 @@ WITH RECURSIVE w AS (
 ), p AS (
   SELECT rep, n, unnest(g) AS t FROM c
 ), f AS (
-  SELECT t FROM p GROUP BY t HAVING count(*) BETWEEN 2 AND 1000000
+  SELECT t FROM p GROUP BY t HAVING count(*) > 1
 ), j AS (
   SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k
   FROM p a JOIN p b ON a.t = b.t AND a.rep < b.rep SEMI JOIN f ON a.t = f.t

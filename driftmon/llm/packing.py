@@ -33,8 +33,10 @@ GROUP = 4096
 _MARKS = ".,!*&%$#|?;:"
 _LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _HEAD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
-#: Distinct units that a worker remembers.
-_CACHE = 800_000
+#: Bytes of distinct units, with their ids, that a worker remembers, about; and what one takes besides its letters and ids.
+_CACHE, _EACH = 64_000_000, 200
+#: Bytes of text that are cut into ids at a time.
+SLICE = 4_000_000
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 ])
@@ -64,6 +66,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -75,12 +78,14 @@ class WordTokenizer:
 
     def units(self, distinct: pa.Array, make) -> list[bytes]:
         known, out = self.known, []
-        if len(known) > _CACHE:
+        if self.held > _CACHE:
             known.clear()
+            self.held = 0
         for key in distinct.to_pylist():
             ids = known.get(key)
             if ids is None:
                 ids = known[key] = make(key)
+                self.held += _EACH + len(key) + len(ids)
             out.append(ids)
         return out
 
@@ -124,7 +129,7 @@ def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 ids, ends = own.encode(part.column(1))
                 ids = np.insert(ids, ends, END).astype("<u4")
                 ends = ends + np.arange(1, len(ends) + 1)
@@ -137,6 +142,7 @@ def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFr
                     begin = end
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+        pa.default_memory_pool().release_unused()  # the worker lives on through later stages
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
