@@ -2,11 +2,12 @@
 
 Documents with the same set of word n-grams are one class.  A class posts only
 its prefix: so many of its rarest n-grams that two sets alike enough must share
-one of them.  Rarity is told by a sketch of how many classes have an n-gram; one
-that a single class has is not posted at all.  Classes that meet on a prefix
-n-gram pass a length filter, a positional filter and a suffix filter (how their
-n-grams spread over fixed parts of the hash space bounds the overlap) before a
-pair is verified on the whole sets, made again from the two texts.
+one of them.  Rarity is told by a sketch of fixed size, which counts a class
+once a task: it sets apart what is common in the corpus, at every size of it.
+Classes that meet on a prefix n-gram pass a length filter, a positional filter
+and a suffix filter (the parities of their n-grams in fixed parts of the hash
+space: every odd one out is an n-gram that the sets do not share) before a pair
+is verified on the whole sets, made again from the two texts.
 
 Only components are asked for, so pairs inside a known component need no check.
 First every class meets one leader that most of its lists propose; what that
@@ -34,12 +35,15 @@ from driftmon.llm.words import slices, split_words
 
 #: Defaults of near-duplicate work; (80, 100) is a similarity of 0.8.
 WORDS, ALIKE = 5, (80, 100)
-#: Counters of the frequency sketch for each class, and their bounds (a broadcast of half a byte each).
-PER_CLASS, FEWEST, MOST = 256, 1 << 18, 1 << 25
+#: Counters of the frequency sketch (a broadcast of one byte each).
+COUNTERS = 1 << 21
 #: Counters, or bits of a filter, in one part on the way to the driver.
 PART = 1 << 18
-#: Parts of the hash space that the suffix filter compares.
-PARTS = 64
+#: Classes that a task remembers as counted, at most; it forgets them all beyond.
+REMEMBERED = 200_000
+#: Parts of the hash space whose parities the suffix filter compares, and their 64-bit words.
+PARTS = 512
+_ROW = PARTS // 64
 #: Rounds of leaders before all remaining pairs are checked, and leaders that a list proposes in a round.
 ROUNDS, LEADERS = 2, 4
 #: Postings of one list that are looked at together, at most; longer lists are split into blocks that meet each other.
@@ -108,18 +112,48 @@ def prefix_length(n: int, alike: tuple[int, int]) -> int:
 
 
 def class_features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, set_key of each document."""
+    """doc_id, n, set_key of each document; and rows of chunk, part: how many classes have the n-grams of each counter.
+
+    One pass makes both.  A task counts a class once, however many copies it sees.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(COUNTERS, np.uint32), set()
+        names = ["doc_id", "n", "set_key", "chunk", "part"]
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                n, key = [], []
+                n, key, new = [], [], []
                 for one in _distinct(part.column(1), words):
                     n.append(len(one))
                     key.append(_set_key(one))
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n", "set_key"])
+                    if key[-1] not in seen:
+                        seen.add(key[-1])
+                        new.append(one)
+                if new:
+                    total += np.bincount((np.concatenate(new) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), *none], names=names)
+        parts = [zlib.compress(total[k : k + PART].tobytes(), 1) for k in range(0, COUNTERS, PART) if total[k : k + PART].any()]
+        chunks = [k // PART for k in range(0, COUNTERS, PART) if total[k : k + PART].any()]
+        none = (pa.nulls(len(parts), k) for k in (pa.int64(), pa.int64(), pa.binary()))
+        yield pa.record_batch([*none, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on through later stages
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, chunk int, part binary")
+
+
+def levels(features: DataFrame) -> bytes:
+    """The sketch's counters in quarter powers of two, one byte each."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary")
+    def add(parts: Iterator[bytes]) -> bytes:
+        total = np.zeros(PART, np.int64)
+        for p in parts:
+            total += np.frombuffer(p, np.uint32)
+        return np.minimum(np.floor(4 * np.log2(total + 1)), 255).astype(np.uint8).tobytes()
+
+    return _together(features.where("chunk is not null").select("chunk", "part"), add, COUNTERS // PART)
 
 
 def _power(wanted: int, fewest: int, most: int) -> int:
@@ -177,65 +211,64 @@ def _chosen(batch: pa.RecordBatch, wanted: tuple[int, bytes]) -> pa.RecordBatch:
     return batch.filter(pa.array((own[slot >> 3] >> (slot & 7)) & 1 == 1, pa.bool_()))
 
 
-def _level(counts: np.ndarray) -> np.ndarray:
-    """0, 1 and 2 as they are, then one more for each doubling, up to 15."""
-    return np.where(counts < 3, counts, np.minimum(15, 2 + np.ceil(np.log2(np.maximum(counts, 2))) - 1)).astype(np.uint8)
-
-
-def frequency_sketch(docs: DataFrame, wanted, classes: int, words: int) -> tuple[int, bytes]:
-    """How many classes have the n-grams of each counter, in doublings (half a byte each).
-
-    One text of each class is counted.  There are the more counters the more
-    classes, up to a bound.
-    """
-    counters = _power(classes * PER_CLASS, FEWEST, MOST)
+def class_prefixes(docs: DataFrame, wanted, level, words: int, alike: tuple[int, int]) -> DataFrame:
+    """set_key, doc_id, prefix (rarest first), parity of the documents that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.uint16)
+        own = np.frombuffer(level.value, np.uint8)
         for batch in batches:
             for part in slices(_chosen(batch, wanted.value), 1, SLICE):
-                each = [one & np.uint64(counters - 1) for one in _distinct(part.column(1), words)]
-                at, n = np.unique(np.concatenate(each), return_counts=True)
-                total[at] = np.minimum(total[at].astype(np.int64) + n, 65_535)
-        for k in range(0, counters, PART):
-            own = total[k : k + PART]
-            if own.any():
-                yield pa.record_batch([pa.array([k // PART], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["chunk", "part"])
-
-    def add(parts: Iterator[bytes]) -> bytes:
-        total = np.zeros(PART, np.int64)
-        for p in parts:
-            total += np.frombuffer(p, np.uint16)
-        level = _level(total)
-        return (level[::2] | level[1::2] << 4).tobytes()
+                key, prefix, parity = [], [], []
+                for one in _distinct(part.column(1), words):
+                    rare = own[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    order = np.argsort(rare, kind="stable")[: prefix_length(len(one), alike)]
+                    key.append(_set_key(one))
+                    prefix.append(one[order].view(np.int64))
+                    odd = np.bincount((one >> np.uint64(55)).astype(np.int64), minlength=PARTS) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.record_batch([pa.array(key, pa.binary()), part.column(0), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
+                                      names=["set_key", "doc_id", "prefix", "parity"])
+        pa.default_memory_pool().release_unused()
 
-    return counters, _together(docs.select("doc_id", "text").mapInArrow(run, "chunk int, part binary"), add, counters // PART)
+    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, doc_id long, prefix array<long>, parity binary")
 
 
-def class_prefixes(docs: DataFrame, wanted, level, words: int, alike: tuple[int, int]) -> DataFrame:
-    """set_key, prefix (n-grams that several classes may have), places of these in the rare-first order, spread."""
+def shared_postings(prefixes: DataFrame) -> DataFrame:
+    """token, rep, n, pos of the prefix n-grams that were posted more than once; one shuffle of narrow rows."""
+    posted = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, packed = level.value
-        own = np.frombuffer(packed, np.uint8)
+        held: list[pa.RecordBatch] = []
+        rows, long = 0, None  # long: the token of a list too long to hold, whose postings go straight on
         for batch in batches:
-            for part in slices(_chosen(batch, wanted.value), 1, SLICE):
-                key, prefix, place, spread = [], [], [], []
-                for one in _distinct(part.column(1), words):
-                    if not len(one):
-                        continue
-                    at = (one & np.uint64(counters - 1)).astype(np.int64)
-                    rare = (own[at >> 1] >> (4 * (at & 1)).astype(np.uint8)) & 15
-                    order = np.argsort(rare, kind="stable")[: prefix_length(len(one), alike)]
-                    shared = np.flatnonzero(rare[order] > 1)
-                    key.append(_set_key(one))
-                    prefix.append(one[order[shared]].view(np.int64))
-                    place.append(shared.astype(np.int32))
-                    spread.append(np.minimum(np.bincount((one >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
-                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(place, pa.list_(pa.int32())),
-                                       pa.array(spread, pa.binary())], names=["set_key", "prefix", "place", "spread"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, prefix array<long>, place array<int>, spread binary")
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 100_000:
+                continue
+            table = pa.Table.from_batches(held)
+            token = table.column(0).to_numpy()
+            until = int(np.searchsorted(token, token[-1]))
+            yield from _shared(table.slice(0, until), token[:until], long)
+            long = token[-1] if until == 0 or token[-1] == long else None
+            rest = table.slice(until)
+            if long is not None or rest.num_rows >= 100_000:
+                long = token[-1]
+                yield from rest.to_batches()
+                rest = rest.slice(rest.num_rows)
+            held, rows = rest.to_batches(), rest.num_rows
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield from _shared(table, table.column(0).to_numpy(), long)
+
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, rep long, n long, pos long")
+
+
+def _shared(table: pa.Table, token: np.ndarray, long) -> list[pa.RecordBatch]:
+    if not len(token):
+        return []
+    same = token[1:] == token[:-1]
+    keep = np.concatenate([[token[0] == long], same]) | np.concatenate([same, [False]])
+    return table.filter(pa.array(keep)).to_batches()
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -274,7 +307,7 @@ def _could_link(rows: dict, a: np.ndarray, b: np.ndarray, alike: tuple[int, int]
     some = np.flatnonzero(ok)
     for k in range(0, len(some), 20_000):
         at = some[k : k + 20_000]
-        apart = np.abs(rows["spread"][a[at]].astype(np.int16) - rows["spread"][b[at]]).sum(1)
+        apart = np.bitwise_count(rows["parity"][a[at]] ^ rows["parity"][b[at]]).sum(1, dtype=np.int64)
         ok[at] = apart <= na[at] + nb[at] - 2 * need[at]
     return ok
 
@@ -314,17 +347,20 @@ def _all_pairs(rows: dict, begin: np.ndarray, size: np.ndarray, alike: tuple[int
 def meetings(lists: DataFrame, alike: tuple[int, int], leaders: int | None) -> DataFrame:
     """a, b, k: classes of different components that pass all filters on ``k`` of the lists they share.
 
-    ``lists`` has token, rep, n, pos, label, spread.  With ``leaders`` (the
-    round's number) a list proposes a few leaders, in an order by hash that all
-    lists share, and each member goes to the first it may link with; else all pairs.
+    ``lists`` has token, rep, n, pos, label, parity, central.  With ``leaders``
+    (the round's number) a list proposes a few leaders, and each member goes to
+    the first it may link with; else all pairs.  All lists have the same order:
+    the most central classes first, in later rounds by hash.
     """
     sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / LONGEST).cast("int").alias("blocks")).where("blocks > 1")
     sizes = materialise(sizes, "long-lists")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(block, o) * F.col("blocks") + F.greatest(block, o))
     cell = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(meet)).alias("cell")
-    placed = lists.join(sizes, "token", "left").select("token", cell, "rep", "n", "pos", "label", "spread",
-                                                       F.xxhash64(F.lit(leaders or 0), "rep").alias("turn"))
+    turn = F.xxhash64(F.lit(leaders or 0), "rep")
+    if not leaders:
+        turn = F.shiftleft(-F.col("central"), 40) + turn.bitwiseAND(F.lit((1 << 40) - 1))
+    placed = lists.join(sizes, "token", "left").select("token", cell, "rep", "n", "pos", "label", "parity", turn.alias("turn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -341,7 +377,7 @@ def meetings(lists: DataFrame, alike: tuple[int, int], leaders: int | None) -> D
     def _meet(held: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         batch = table.to_batches()[0] if table.num_rows else held[0]
-        col = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name != "spread"}
+        col = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name != "parity"}
         new = np.concatenate([[True], (np.diff(col["token"]) != 0) | (np.diff(col["cell"]) != 0)])[: batch.num_rows]
         begin = np.flatnonzero(new)
         until = batch.num_rows if last or not len(begin) else int(begin[-1])
@@ -349,8 +385,8 @@ def meetings(lists: DataFrame, alike: tuple[int, int], leaders: int | None) -> D
         if not len(begin):
             return [], batch.slice(until)
         own = {name: c[:until] for name, c in col.items()}
-        spread = batch.column(batch.schema.get_field_index("spread")).slice(0, until)
-        own["spread"] = np.frombuffer(b"".join(spread.to_pylist()), np.uint8).reshape(-1, PARTS)
+        parity = batch.column(batch.schema.get_field_index("parity")).slice(0, until)
+        own["parity"] = np.frombuffer(b"".join(parity.to_pylist()), np.uint64).reshape(-1, _ROW)
         size = np.diff(np.append(begin, until))
         find = _all_pairs if leaders is None else _proposals
         pairs = [(own["rep"][a], own["rep"][b]) for a, b in find(own, begin, size, alike) if len(a)]
@@ -398,23 +434,26 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, alike: tuple[int, i
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def class_links(docs: DataFrame, reps: DataFrame, words: int, alike: tuple[int, int]) -> DataFrame | None:
+def class_links(docs: DataFrame, features: DataFrame, reps: DataFrame, words: int, alike: tuple[int, int]) -> DataFrame | None:
     """Component labels ``node, label`` of the classes that are linked with another; None if there are none."""
     sc = docs.sparkSession.sparkContext
     n = reps.count()
     if not n:
         return None
-    wanted = sc.broadcast(id_filter(reps, n))
-    level = sc.broadcast(frequency_sketch(docs, wanted, n, words))
-    prefixes = class_prefixes(docs, wanted, level, words, alike).join(reps.select("rep", "set_key", "n"), "set_key").dropDuplicates(["rep"])
-    prefixes = materialise(prefixes.select("rep", "n", "prefix", "place", "spread"), "prefixes")
-    posted = prefixes.select("rep", "n", F.explode(F.arrays_zip("place", "prefix")).alias("at"), "spread").select(
-        F.col("at.prefix").alias("token"), "rep", "n", F.col("at.place").cast("long").alias("pos"), "spread")
-    shared = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    lists = materialise(posted.join(shared, "token", "left_semi").withColumn("label", F.col("rep")), "lists")
+    wanted, level = sc.broadcast(id_filter(reps, n)), sc.broadcast(levels(features))
+    same = (F.col("set_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    named = reps.select("rep", "n", F.col("set_key").alias("own_key"), F.col("doc_id").alias("own_id"))
+    prefixes = class_prefixes(docs, wanted, level, words, alike).join(named, same)
+    prefixes = materialise(prefixes.select("rep", "n", "prefix", "parity"), "prefixes")
+    live = materialise(shared_postings(prefixes), "lists")
+    # a class of whose prefix much is shared is likely to be what others were copied from
+    central = live.groupBy("rep").agg(F.count("*").alias("k"))
+    about = prefixes.dropDuplicates(["rep"]).join(central, "rep").select("rep", "parity", F.floor(F.lit(1000) * F.col("k") / F.size("prefix")).cast("long").alias("central"))
+    about = materialise(about, "about")
+    lists = live.withColumn("label", F.col("rep"))
     links = labels = None
     for turn in (*range(ROUNDS), None):
-        met = meetings(lists, alike, turn)
+        met = meetings(lists.join(about, "rep"), alike, turn)
         if turn is not None:  # one leader for each class, the one that most of its lists propose
             met = met.groupBy("b").agg(F.max(F.struct("k", F.xxhash64("a").alias("rank"), "a")).alias("best")).select("best.a", "b")
         pairs = materialise(met.select("a", "b"), "pairs")
@@ -447,11 +486,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, alike: tuple[int, in
     empty result.
     """
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    features = materialise(class_features(some, words).withColumn("row", F.monotonically_increasing_id()), "features")
+    made = materialise(class_features(some, words).withColumn("row", F.monotonically_increasing_id()), "features")
+    features = made.where("chunk is null")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     reps = features.where("n > 0").groupBy("set_key", "n").agg(best.alias("best"))
     reps = materialise(reps.select("set_key", "n", F.col("best.row").alias("rep"), F.col("best.doc_id").alias("doc_id")), "classes")
-    labels = class_links(some, reps, words, alike)
+    labels = class_links(some, made, reps, words, alike)
     reps = reps.withColumnRenamed("doc_id", "least")
     if labels is not None:
         reps = reps.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("label", "rep"))

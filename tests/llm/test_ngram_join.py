@@ -100,3 +100,26 @@ def test_connected_components_of_a_chain(spark):
     out = {r.node: r.label for r in connected_components(links).collect()}
     assert out == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """2,000 near copies of one text, whose lists are split into blocks; many pairs of copies are below the limit."""
+    monkeypatch.setattr(ngram_join, "LONGEST", 300)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 100)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2000):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows, 4, 85, 100)
+    assert 50 < len({c for *_, c in want}) < 1500
+    assert got(jaccard_components(make_docs(spark, rows), 4, (85, 100))) == want
+
+
+def test_clashing_names_of_any_kind(spark, messy):
+    odd = messy.selectExpr("*", "1 as gone", "2 as _gone_id", "3 as _row", "4 as rep", "5 as `a.b`")
+    kept = drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == drop_near_duplicates(messy).count()
