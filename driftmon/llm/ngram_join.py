@@ -41,8 +41,9 @@ COUNTERS = 1 << 21
 PART = 1 << 18
 #: Classes that a task remembers as counted, at most; it forgets them all beyond.
 REMEMBERED = 200_000
-#: Parts of the hash space whose parities the suffix filter compares, and their 64-bit words.
-PARTS = 512
+#: Parts of the hash space whose parities the suffix filter compares, and their 64-bit words; a pair's second look has
+#: two parts for each n-gram, up to a bound.
+PARTS, MOST_PARTS = 512, 1 << 20
 _ROW = PARTS // 64
 #: Rounds of leaders before all remaining pairs are checked, and leaders that a list proposes in a round.
 ROUNDS, LEADERS = 2, 4
@@ -211,26 +212,58 @@ def _chosen(batch: pa.RecordBatch, wanted: tuple[int, bytes]) -> pa.RecordBatch:
     return batch.filter(pa.array((own[slot >> 3] >> (slot & 7)) & 1 == 1, pa.bool_()))
 
 
+def _parities(one: np.ndarray) -> np.ndarray:
+    """0 or 1 for each part of the hash space: whether it has an odd number of the n-grams."""
+    parts = _power(2 * len(one), PARTS, MOST_PARTS)
+    return (np.bincount((one & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1).astype(np.uint8)
+
+
+def _folded(odd: np.ndarray, parts: int) -> np.ndarray:
+    """The same parities in fewer parts."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, parts), axis=0)
+
+
+def looked_at(pairs: DataFrame, about: DataFrame, alike: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that the suffix filter still lets through with as many parts as the sets are long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            most = na + nb - 2 * _needed(na, nb, alike)
+            ok = []
+            for x, y, apart in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True):
+                one, two = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+                parts = min(len(one), len(two))
+                ok.append(int((_folded(one, parts) ^ _folded(two, parts)).sum()) <= apart)
+            some = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([some.column(0), some.column(1)], names=["a", "b"])
+
+    sides = [about.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"wide{k}")) for k in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "widea", "wideb")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def class_prefixes(docs: DataFrame, wanted, level, words: int, alike: tuple[int, int]) -> DataFrame:
-    """set_key, doc_id, prefix (rarest first), parity of the documents that pass the filter."""
+    """set_key, doc_id, prefix (rarest first), parity, wide (the same in more parts) of the documents that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(level.value, np.uint8)
         for batch in batches:
             for part in slices(_chosen(batch, wanted.value), 1, SLICE):
-                key, prefix, parity = [], [], []
+                key, prefix, parity, wide = [], [], [], []
                 for one in _distinct(part.column(1), words):
                     rare = own[(one & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     order = np.argsort(rare, kind="stable")[: prefix_length(len(one), alike)]
                     key.append(_set_key(one))
                     prefix.append(one[order].view(np.int64))
-                    odd = np.bincount((one >> np.uint64(55)).astype(np.int64), minlength=PARTS) & 1
-                    parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.record_batch([pa.array(key, pa.binary()), part.column(0), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
-                                      names=["set_key", "doc_id", "prefix", "parity"])
+                    odd = _parities(one)
+                    wide.append(np.packbits(odd).tobytes())
+                    parity.append(np.packbits(_folded(odd, PARTS)).tobytes())
+                yield pa.record_batch([pa.array(key, pa.binary()), part.column(0), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.binary()),
+                                       pa.array(wide, pa.binary())], names=["set_key", "doc_id", "prefix", "parity", "wide"])
         pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, doc_id long, prefix array<long>, parity binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, doc_id long, prefix array<long>, parity binary, wide binary")
 
 
 def shared_postings(prefixes: DataFrame) -> DataFrame:
@@ -444,19 +477,19 @@ def class_links(docs: DataFrame, features: DataFrame, reps: DataFrame, words: in
     same = (F.col("set_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
     named = reps.select("rep", "n", F.col("set_key").alias("own_key"), F.col("doc_id").alias("own_id"))
     prefixes = class_prefixes(docs, wanted, level, words, alike).join(named, same)
-    prefixes = materialise(prefixes.select("rep", "n", "prefix", "parity"), "prefixes")
+    prefixes = materialise(prefixes.select("rep", "n", "prefix", "parity", "wide"), "prefixes")
     live = materialise(shared_postings(prefixes), "lists")
     # a class of whose prefix much is shared is likely to be what others were copied from
     central = live.groupBy("rep").agg(F.count("*").alias("k"))
-    about = prefixes.dropDuplicates(["rep"]).join(central, "rep").select("rep", "parity", F.floor(F.lit(1000) * F.col("k") / F.size("prefix")).cast("long").alias("central"))
+    about = prefixes.dropDuplicates(["rep"]).join(central, "rep").select("rep", "n", "parity", "wide", F.floor(F.lit(1000) * F.col("k") / F.size("prefix")).cast("long").alias("central"))
     about = materialise(about, "about")
     lists = live.withColumn("label", F.col("rep"))
     links = labels = None
     for turn in (*range(ROUNDS), None):
-        met = meetings(lists.join(about, "rep"), alike, turn)
+        met = meetings(lists.join(about.select("rep", "parity", "central"), "rep"), alike, turn)
         if turn is not None:  # one leader for each class, the one that most of its lists propose
             met = met.groupBy("b").agg(F.max(F.struct("k", F.xxhash64("a").alias("rank"), "a")).alias("best")).select("best.a", "b")
-        pairs = materialise(met.select("a", "b"), "pairs")
+        pairs = materialise(looked_at(met.select("a", "b"), about, alike), "pairs")
         if not pairs.isEmpty():
             some = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
             texts = materialise(class_texts(docs, materialise(reps.join(some, "rep", "left_semi"), "met"), words), "texts")
