@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmon.operators.joins import join_small
+from driftmon.operators.quantiles import ordered_values, with_quantiles
 
 MODES = ("mean", "max")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -142,29 +143,35 @@ def similarity_per_row(test: DataFrame, train: DataFrame, mode: str = "mean", ke
     raise ValueError("Invalid mode. Choose 'max' or 'mean'.")
 
 
-def distribution_columns(sim: str = "sim", exact: bool = True, accuracy: int = 100000) -> list[Column]:
-    """mean, population std, min, p10, p25, median, p75, p90, max of ``sim``.
+#: Names of the quantiles in a distribution.
+QUANTILE_NAMES = dict(zip(("dist_p10", "dist_p25", "dist_median", "dist_p75", "dist_p90"), QUANTILES, strict=True))
 
-    ``exact`` uses linear interpolation between order statistics (the
-    common default); otherwise ``percentile_approx`` with bounded memory.
-    """
+
+def _spread_columns(sim: str) -> list[Column]:
     s = F.col(sim)
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    pct = F.percentile(s, qs) if exact else F.percentile_approx(s, qs, accuracy)
-    names = ["dist_p10", "dist_p25", "dist_median", "dist_p75", "dist_p90"]
-    return [
-        F.avg(s).alias("dist_mean"), F.stddev_pop(s).alias("dist_std"), F.min(s).alias("dist_min"),
-        *[F.get(pct, i).alias(n) for i, n in enumerate(names)],
-        F.max(s).alias("dist_max"),
-    ]
-
-
-def summarise(per_row: DataFrame, group, include_distribution: bool = True, exact: bool = True) -> DataFrame:
-    """``num_samples``, ``similarity`` (+ ``dist_*``) per group of the per-row similarities."""
+    return [F.avg(s).alias("dist_mean"), F.stddev_pop(s).alias("dist_std"), F.min(s).alias("dist_min"), F.max(s).alias("dist_max")]
+
+
+def summarise(per_row: DataFrame, group, include_distribution: bool = True, exact: bool = True, accuracy: int = 100000) -> DataFrame:
+    """``num_samples``, ``similarity`` (+ ``dist_*``) per group of the per-row similarities.
+
+    ``dist_*`` is mean, population std, min, p10, p25, median, p75, p90, max.
+    ``exact`` quantiles are interpolated between order statistics of one range
+    sort (:mod:`driftmon.operators.quantiles`); otherwise ``percentile_approx``
+    with bounded memory.
+    """
+    group = list(group)
     cols = [F.count(F.lit(1)).alias("num_samples"), F.avg("sim").alias("similarity")]
-    if include_distribution:
-        cols += distribution_columns("sim", exact)
-    return per_row.groupBy(*group).agg(*cols)
+    order = [*group, "num_samples", "similarity", "dist_mean", "dist_std", "dist_min", *QUANTILE_NAMES, "dist_max"]
+    if not include_distribution:
+        return per_row.groupBy(*group).agg(*cols)
+    if not exact:
+        approx = F.percentile_approx("sim", F.array(*[F.lit(q) for q in QUANTILES]), accuracy)
+        cols += [*_spread_columns("sim"), *[F.get(approx, i).alias(n) for i, n in enumerate(QUANTILE_NAMES)]]
+        return per_row.groupBy(*group).agg(*cols).select(*order)
+    ordered = ordered_values(per_row, group, "sim")
+    stats = ordered.withColumnRenamed("v", "sim").groupBy(*group).agg(*cols, *_spread_columns("sim"))
+    return with_quantiles(stats, ordered, group, QUANTILE_NAMES).select(*order)
 
 
 def average_similarity(test: DataFrame, train: DataFrame, mode: str = "mean", keys=("project",),

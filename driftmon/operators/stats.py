@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType
 from driftmon.functions import numeric as K
 from driftmon.functions.periods import period_year
 from driftmon.operators.joins import join_small
+from driftmon.operators.quantiles import ordered_values, with_quantiles
 
 ALPHA = 0.05
 
@@ -119,19 +120,19 @@ def qq_points(df: DataFrame, cols, keys=("project",)) -> DataFrame:
 
 
 def density_histogram(df: DataFrame, col: str, keys=("project",)) -> DataFrame:
-    """Density histogram per key with the automatic bin rule, all in SQL.
+    """Density histogram per key with the automatic bin rule, exact quartiles from one range sort.
 
     width = min(max(Freedman-Diaconis, sqrt-rule / 2), Sturges); bins =
     ceil(range / width) (1 if the width is 0); equal bins over [min, max],
     the last bin closed; density = count / (n x bin width).
     """
     keys = list(keys)
-    v = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    st = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                              q.alias("q"))
+    v = ordered_values(df.where(F.col(col).isNotNull()), keys, col)
+    st = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    st = with_quantiles(st, v, keys, {"q1": 0.25, "q3": 0.75})
+    v = v.drop("at")
     span = F.col("hi") - F.col("lo")
-    fd = 2.0 * (F.get("q", 1) - F.get("q", 0)) * F.pow(F.col("n"), -1.0 / 3.0)
+    fd = 2.0 * (F.col("q3") - F.col("q1")) * F.pow(F.col("n"), -1.0 / 3.0)
     sturges = span / (F.log2(F.col("n")) + 1.0)
     sqrt_rule = span / F.sqrt(F.col("n"))
     width = F.least(F.greatest(fd, sqrt_rule / 2.0), sturges)

@@ -9,8 +9,11 @@ from driftmon.operators import cleaning, distribution, windows
 from driftmon.operators.collections import select_collections
 from driftmon.plans import sql_snippets as S
 from driftmon.plans.catalog import query
+from driftmon.session import scratch_path
 from driftmon.sources import fixtures
 from driftmon.sources.fixtures import with_views
+from driftmon.sources.issues_io import read_issues_csv, write_issues_csv
+from driftmon.sources.tables import read_table
 
 
 def mapped_issues(spark, sf_dir):
@@ -155,3 +158,17 @@ FROM (SELECT project, label, count(*) AS n FROM ({S.MAPPED_ISSUES}) m GROUP BY p
 GROUP BY project""", "issues"))
 def q_class_counts(spark, sf_dir):
     return distribution.class_counts(mapped_issues(spark, sf_dir), keys=("project",))
+
+
+@query("issues_csv_round_trip", """
+SELECT CAST(doc_id AS VARCHAR) AS title, md5(replace(text, chr(0), '')) AS body_md5, length(replace(text, chr(0), '')) AS body_chars,
+       source AS label, lang || '"' AS date FROM documents""")
+def q_issues_csv_round_trip(spark, sf_dir):
+    """Whole texts with their line breaks, commas and quotes written as CSV and read back by byte ranges."""
+    docs = read_table(spark, sf_dir, "documents")
+    issues = docs.select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("body"), F.col("source").alias("label"),
+                         F.concat("lang", F.lit('"')).alias("date"))
+    path = scratch_path(spark, "issues-csv")
+    write_issues_csv(issues, path)
+    back = read_issues_csv(spark, path)
+    return back.select("title", F.md5("body").alias("body_md5"), F.length("body").cast("long").alias("body_chars"), "label", "date")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftmon.sources.csv_ranges import read_csv_ranges
+
 ISSUE_DOCUMENT_SCHEMA = T.StructType([
     T.StructField("project", T.StringType()),
     T.StructField("fields", T.StructType([
@@ -50,15 +52,11 @@ def read_issue_documents(spark: SparkSession, path: str, schema: T.StructType =
 
 
 def read_issues_csv(spark: SparkSession, path: str, schema: T.StructType = ISSUE_CSV_SCHEMA) -> DataFrame:
-    """Issue CSV: header, quoted multi-line fields of any length, NUL bytes removed."""
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("maxCharsPerColumn", -1)
-        .csv(path)
-    )
+    """Issue CSV: header, quoted multi-line fields of any length, NUL bytes removed.
+
+    One large file is read by many tasks (:mod:`driftmon.sources.csv_ranges`).
+    """
+    df = read_csv_ranges(spark, path, schema)
     return df.select(*[F.replace(F.col(c), F.lit("\u0000"), F.lit("")).alias(c) for c in df.columns])
 
 
