@@ -55,16 +55,25 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return at.withColumn("position", table[part] + within).drop("_at")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is not in ``gone`` (one column of ids), with all their columns.
+def as_struct(docs: DataFrame, **more: Column) -> tuple[DataFrame, str, dict[str, str]]:
+    """Every row of ``docs`` as one struct column beside ``more``; all names are made up, so none can clash.
 
-    The rows go through the join as one struct, so no column's name can clash.
+    Gives the frame, the struct's name and the names of ``more``; see :func:`from_struct`.
     """
-    row, own, other = (f"_{uuid.uuid4().hex}" for _ in range(3))
-    whole = docs.select(F.col("doc_id").cast("long").alias(own), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
-    ids = gone.select(F.col(gone.columns[0]).alias(other))
-    kept = whole.join(ids, F.col(own) == F.col(other), "left_anti")
-    return kept.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
+    row, names = f"_{uuid.uuid4().hex}", {k: f"_{uuid.uuid4().hex}" for k in more}
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)
+    return docs.select(whole, *(c.alias(names[k]) for k, c in more.items())), row, names
+
+
+def from_struct(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col(row).getField(c).alias(c) for c in columns))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in ``gone`` (one column of ids), with all their columns."""
+    whole, row, names = as_struct(docs, id=F.col("doc_id").cast("long"))
+    ids = gone.select(F.col(gone.columns[0]).alias("gone"))
+    return from_struct(whole.join(ids, F.col(names["id"]) == F.col("gone"), "left_anti"), row, docs.columns)
 
 
 def range_splits(df: DataFrame, key: str, rows_each: int, most: int = 16384) -> list:

@@ -14,10 +14,10 @@ two different blocks share, if any, are resolved on the text itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmon.llm.common import WHITE, materialise
+from driftmon.llm.common import WHITE, as_struct, from_struct, materialise
 
 BLOCK_CHARS = 2048
 #: Stands for "no right neighbour" in a pair; never a name.
@@ -117,23 +117,17 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_hash=F.x
 
 
 def drop_exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row for each kept ``doc_id``.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; one row for each kept ``doc_id``.
 
     Rows without a ``doc_id`` are told apart by their text: the one that stays
     is found among them by its digest.
     """
-    keep = exact_groups(docs, block_chars).where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    )
+    keep = exact_groups(docs, block_chars).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
     keep = materialise(keep, "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    tagged = docs.withColumn("_sha", F.sha2(normalised("text"), 256))
-    stay = tagged.join(keep, same & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    longest = [F.col("doc_id"), F.col("_sha")]
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*longest).orderBy(F.length("text").desc_nulls_last())
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    whole, row, of = as_struct(docs, id=F.col("doc_id"), sha=F.sha2(normalised("text"), 256), size=F.length("text"))
+    stay = whole.join(keep, F.col(of["id"]).eqNullSafe(F.col("keep_id")) & (F.col(of["sha"]) == F.col("keep_sha")), "left_semi")
+    order = Window.partitionBy(of["id"], of["sha"]).orderBy(F.col(of["size"]).desc_nulls_last())
+    return from_struct(stay.withColumn("nth", F.row_number().over(order)).where("nth = 1"), row, docs.columns)
 
 
 OP8_SQL = """

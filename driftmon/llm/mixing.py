@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmon.llm.common import materialise, number_rows, word_count
+from driftmon.llm.common import as_struct, from_struct, materialise, number_rows, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -180,13 +180,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most_copies: int = MOST_COPIES
 
 
 def repeat_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with its own columns."""
-    mixed = mix_sources(docs, **kw).select("doc_id", "size", "copies")
-    nth = Window.partitionBy("doc_id").orderBy(F.col("size").desc(), F.col("copies").desc())
-    mixed = materialise(mixed.withColumn("_nth", F.row_number().over(nth)).select(
-        F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_copies"), "_nth"), "copies")
-    numbered = docs.withColumn("_row_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(word_count("text").desc())))
-    joined = numbered.join(mixed, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_row_nth") == F.col("_nth")))
-    some = joined.where("_copies > 0")
-    return some.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[docs[c] for c in docs.columns])
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with its own columns, whatever their names.
+
+    Rows are matched by id and size; of rows equal in both, as many get copies
+    as the mix says, whichever they are.
+    """
+    mixed = mix_sources(docs, **kw).select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), "copies")
+    nth = Window.partitionBy("mix_id", "mix_size").orderBy(F.col("copies").desc())
+    mixed = materialise(mixed.withColumn("mix_nth", F.row_number().over(nth)).where("copies > 0"), "copies")
+    whole, row, of = as_struct(docs, id=F.col("doc_id"), size=word_count("text"))
+    own = F.row_number().over(Window.partitionBy(of["id"], of["size"]).orderBy(of["id"]))
+    same = F.col(of["id"]).eqNullSafe(F.col("mix_id")) & (F.col(of["size"]) == F.col("mix_size")) & (F.col("own_nth") == F.col("mix_nth"))
+    taken = whole.withColumn("own_nth", own).join(mixed, same)
+    return from_struct(taken.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), row, docs.columns)

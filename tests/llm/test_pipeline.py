@@ -47,3 +47,14 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{DIR}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert P.run(spark, empty).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, messy):
+    from driftmon.llm import exact_dedup, mixing, ngram_join, quality
+
+    names = ["_sha", "_nth", "_keep_id", "_mix_id", "_copies", "_copy", "_gone_id", "_bad_id", "keep_id", "nth", "mix_id", "copies", "gone", "own_nth", "row", "a.b"]
+    odd = messy.selectExpr(*(f"`{c}`" for c in messy.columns if c not in names), *(f"{k} as `{c}`" for k, c in enumerate(names)))
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    for out in (quality.keep_good(odd, labels), exact_dedup.drop_exact_duplicates(odd), ngram_join.drop_near_duplicates(odd), mixing.repeat_documents(odd)):
+        assert out.columns == odd.columns
+        assert all([r[c] for c in names] == list(range(len(names))) for r in out.collect())
