@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftmon.operators import windows as W
 from driftmon.plans import jobs
 from driftmon.plans import sql_snippets as S
-from driftmon.plans.catalog import query
+from driftmon.plans.catalog import ORACLES, query
 from driftmon.plans.q_prepare import mapped_issues, windowed
 from driftmon.plans.q_similarity import split_vectors
 from driftmon.plans.rounding import rounded
@@ -22,11 +22,15 @@ from driftmon.streaming.distribution_stream import (
 TRAIN = W.target_window("year", 1995, 1996)
 
 
-@query("distribution_tables_overall", with_views(f"""
-SELECT count(*) AS n_rows FROM (SELECT DISTINCT project FROM ({S.MAPPED_ISSUES}) m) p""", "issues"))
+@query("distribution_tables_overall", ORACLES["overall_distribution"])
 def q_distribution_tables(spark, sf_dir):
-    t = jobs.distribution_tables(mapped_issues(spark, sf_dir), "overall")
-    return t.where(~F.col("is_total")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """The job's whole table, totals included."""
+    return jobs.distribution_tables(mapped_issues(spark, sf_dir), "overall")
+
+
+@query("distribution_tables_windows", ORACLES["window_distribution_month_r3"])
+def q_distribution_tables_windows(spark, sf_dir):
+    return jobs.distribution_tables(mapped_issues(spark, sf_dir), "windows", "month", 3)
 
 
 @query("build_windows_job", with_views(f"""
