@@ -27,7 +27,7 @@ def _c(col) -> Column:
 def check_split(split_type: str, n: int) -> str:
     s = split_type.lower()
     if s not in SPLIT_TYPES:
-        raise ValueError("Split type must be 'year', 'month', or 'day'")
+        raise ValueError(f"no split called {split_type!r}; known: {', '.join(SPLIT_TYPES)}")
     if int(n) < 1:
         raise ValueError("range must be a positive integer")
     return s

@@ -158,5 +158,5 @@ def sample_training_data(df: DataFrame, strategy: str = "balanced", **kw) -> Dat
     """Dispatch by strategy name; an unknown strategy is an error."""
     fns = {"random": sample_per_class, "balanced": sample_balanced, "stratified": sample_stratified}
     if strategy not in fns:
-        raise ValueError(f"Unknown sampling_strategy: {strategy}")
+        raise ValueError(f"no sampling called {strategy!r}; known: {', '.join(fns)}")
     return fns[strategy](df, **kw)

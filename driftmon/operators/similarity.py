@@ -140,7 +140,7 @@ def similarity_per_row(test: DataFrame, train: DataFrame, mode: str = "mean", ke
         return mean_similarity_per_row(test, train, keys, vec_col)
     if mode == "max":
         return max_similarity_per_row(test, train, keys, id_col, id_col, vec_col, **kw)
-    raise ValueError("Invalid mode. Choose 'max' or 'mean'.")
+    raise ValueError(f"no similarity called {mode!r}; known: {', '.join(MODES)}")
 
 
 #: Names of the quantiles in a distribution.
