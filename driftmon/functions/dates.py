@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WALL_CLOCK_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
+CLOCK_FORMAT = "yyyyMMddHHmmss"
 # ISO 8601 forms of issue dates: a date, optionally a time (minutes, seconds,
 # a fraction of any length after a point or comma), optionally Z or an offset;
 # the same in the compact basic form.
@@ -37,37 +37,42 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _part(c: Column, k: int, missing: str = "00") -> Column:
-    found = F.regexp_extract(c, PARTS_RE, k)
-    return F.when(found == "", F.lit(missing)).otherwise(found)
-
-
 def _is_iso(c: Column) -> Column:
-    return c.rlike(ISO_DATETIME_RE) | c.rlike(ISO_BASIC_RE)
+    return c.rlike(f"{ISO_DATETIME_RE}|{ISO_BASIC_RE}")
 
 
-def _clock_text(c: Column) -> Column:
-    """``yyyy-MM-ddTHH:mm:ss`` as written, without fraction and offset; null when not ISO."""
-    day = F.concat_ws("-", *[_part(c, k) for k in (1, 2, 3)])
-    time = F.concat_ws(":", *[_part(c, k) for k in (4, 5, 6)])
-    return F.when(_is_iso(c), F.concat_ws("T", day, time))
+def _clock_digits(c: Column) -> Column:
+    """``yyyyMMddHHmmss`` as written, without fraction and offset; null when not ISO."""
+    digits = F.regexp_replace(c, PARTS_RE, "$1$2$3$4$5$6")  # parts that are not written add nothing
+    return F.when(_is_iso(c), F.rpad(digits, 14, "0"))
 
 
 def parse_wall_clock(col) -> Column:
     """The local wall clock of every form ``is_valid_date`` accepts; the offset and fraction are dropped."""
-    return F.try_to_timestamp(_clock_text(_c(col)), F.lit(WALL_CLOCK_FORMAT))
+    return F.try_to_timestamp(_clock_digits(_c(col)), F.lit(CLOCK_FORMAT))
 
 
 def parse_utc(col) -> Column:
     """The instant of every form ``is_valid_date`` accepts; no offset means UTC."""
     c = _c(col)
-    at = F.try_to_timestamp(F.concat(_clock_text(c), F.lit("+0000")), F.lit(WALL_CLOCK_FORMAT + "xx"))
-    micros = F.rpad(F.substring(_part(c, 7, "0"), 1, 6), 6, "0").cast("long")
-    minutes = _part(c, 9).cast("long") * 60 + _part(c, 10).cast("long")
-    sign = F.when(_part(c, 8, "+") == "-", -1).otherwise(1)
+    at = F.try_to_timestamp(F.concat(_clock_digits(c), F.lit("+0000")), F.lit(CLOCK_FORMAT + "xx"))
+    micros = F.rpad(F.substring(F.regexp_replace(c, PARTS_RE, "$7"), 1, 6), 6, "0").try_cast("long")
+    # [+-]hhmm; zeros where no offset is written
+    offset = F.rpad(F.regexp_replace(c, PARTS_RE, "$8$9$10"), 5, "0")
+    minutes = F.substring(offset, 2, 2).try_cast("long") * 60 + F.substring(offset, 4, 2).try_cast("long")
+    sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
     return F.timestamp_micros(F.unix_micros(at) + micros - sign * minutes * 60_000_000)
 
 
+def parsed_once(parsed: Column) -> Column:
+    """``parsed`` behind a step that the optimiser does not inline.
+
+    Filters and columns derived from it read the finished value; without the
+    step each of them would parse the string again.
+    """
+    return F.explode(F.array(parsed))
+
+
 def iso_calendar_date(col) -> Column:
     """The calendar date written in an ISO string (its own offset), or null."""
     c = _c(col)

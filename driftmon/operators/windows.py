@@ -14,7 +14,7 @@ from calendar import monthrange
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmon.functions.dates import coerce_date, parse_wall_clock
+from driftmon.functions.dates import coerce_date, parse_wall_clock, parsed_once
 from driftmon.functions.periods import check_split, parse_period, period_dates, period_key
 from driftmon.functions.text import build_text
 
@@ -27,8 +27,7 @@ def create_time_windows(df: DataFrame, split_type: str, range_size: int, date_co
     ``"fail"`` raises if any row has such a date (one extra pass).
     """
     s = check_split(split_type, range_size)
-    ts = parse_wall_clock(date_col)
-    out = df.withColumn(date_col, ts)
+    out = df.withColumn(date_col, parsed_once(parse_wall_clock(date_col)))
     if on_bad_date == "fail":
         bad = out.where(F.col(date_col).isNull()).limit(1).count()
         if bad:

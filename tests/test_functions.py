@@ -110,3 +110,24 @@ def test_text_helpers(spark):
     assert row[1].t == ""  # a null part empties the text
     nas = spark.createDataFrame([(t,) for t in NA_TOKENS] + [("ok",)], "x string")
     assert nas.select(na_tokens_to_null("x").alias("x")).where("x IS NOT NULL").count() == 1
+
+
+def test_dates_are_parsed_once(spark):
+    from driftmon.operators import windows as W
+
+    df = spark.createDataFrame([("2020-05-06T07:08:09.5+0200", "a", "b", "c")], "date string, title string, body string, label string")
+    frame = W.load_model_frame(W.create_time_windows(df, "month", 3), W.target_window("year", 2020, 2020), "month")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract(") == 0 and plan.count("rlike") == 1
+    row = frame.first()
+    assert str(row.date) == "2020-05-06 07:08:09" and row.period == "2020-04_2020-06" and row.text == "a b"
+
+
+def test_utc_of_every_written_form(spark):
+    forms = {"2020-01-01": "2020-01-01 00:00:00", "20200101": "2020-01-01 00:00:00", "2020-01-01T05": "2020-01-01 05:00:00",
+             "2020-01-01 05:06Z": "2020-01-01 05:06:00", "20200101T050607,25-0130": "2020-01-01 06:36:07.25",
+             "2020-01-01T05:06:07.123456789+05": "2020-01-01 00:06:07.123456", "2020-13-01": None, "2020-1-1": None,
+             "2020-01-01T05:06:07+": None, "": None}
+    df = spark.createDataFrame([(x,) for x in forms] + [(None,)], "x string")
+    got = {r.x: r.u for r in df.select("x", parse_utc("x").cast("string").alias("u")).collect()}
+    assert got == {**forms, None: None}
