@@ -7,12 +7,16 @@ Per test vector ``t`` the reference takes the mean or the max of
   training vectors.  One aggregation builds ``c`` per key (partial sums, so a
   hot key is combined map-side), a size-checked broadcast ships one row per
   key, and the test side is a single narrow pass: O(N + M), no pair product.
-* **max**: no such identity.  Training vectors are hashed into blocks of at
-  most ``block_rows`` and test vectors into chunks of ``chunk_rows``; each
-  (key, block, chunk) cell is one ``cogroup`` task doing a dense matrix
-  product in NumPy, emitting one partial max per test vector.  Pairs are
-  never materialised as rows, and no task holds more than one block and one
-  chunk, however large a key is.
+* **max**: no such identity.  Training vectors that take at most
+  ``broadcast_bytes`` are packed into blocks of alike vectors and shipped once
+  to every executor; the test side is then one narrow pass that keeps a
+  running maximum and skips the blocks whose centroid and radius show that
+  they cannot raise it (:mod:`driftmon.operators.vector_blocks`).  Beyond that
+  size training vectors are hashed into blocks of at most ``block_rows`` and
+  test vectors into chunks of ``chunk_rows``; each (key, block, chunk) cell is
+  one ``cogroup`` task doing a dense matrix product in NumPy, emitting one
+  partial max per test vector.  Pairs are never materialised as rows, and no
+  task holds more than one block and one chunk, however large a key is.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 
 from driftmon.operators.joins import join_small
 from driftmon.operators.quantiles import ordered_values, with_quantiles
+from driftmon.operators.vector_blocks import max_by_blocks, training_bytes
 
 MODES = ("mean", "max")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+#: Training vectors are shipped to every executor only up to this many bytes.
+BLOCK_BROADCAST_BYTES = 64 << 20
 
 
 def _c(col) -> Column:
@@ -88,19 +95,42 @@ def _max_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def max_similarity_per_row(test: DataFrame, train: DataFrame, keys=("project",), id_col: str = "vec_id",
                            train_id_col: str = "vec_id", vec_col: str = "embedding",
-                           block_rows: int = 2048, chunk_rows: int = 2048) -> DataFrame:
-    """Each test id with ``sim`` = max cosine to the key's training vectors (exact)."""
+                           block_rows: int = 2048, chunk_rows: int = 2048,
+                           broadcast_bytes: int = BLOCK_BROADCAST_BYTES) -> DataFrame:
+    """Each test row with ``sim`` = max cosine to the key's training vectors (exact).
+
+    A zero vector has cosine 0 with everything.  ``sim`` is null for a key
+    without training vectors and for a null or empty vector or one with a null,
+    NaN or infinite element; such training vectors count for nothing, as do
+    those of another length.  The size of the training side is measured first.
+    """
     test, train, keys, done = _keyed_pair(test, train, keys)
+    if training_bytes(train, vec_col) <= broadcast_bytes:
+        return done(max_by_blocks(test, train, keys, vec_col, min(block_rows, 512)))
+    return done(_max_by_cells(test, train, keys, id_col, train_id_col, vec_col, block_rows, chunk_rows))
+
+
+def _whole(vec_col: str) -> Column:
+    """Neither null nor empty, and every element a finite number."""
+    v = F.col(vec_col).cast("array<double>")
+    return (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+
+
+def _max_by_cells(test: DataFrame, train: DataFrame, keys, id_col: str, train_id_col: str, vec_col: str,
+                  block_rows: int, chunk_rows: int) -> DataFrame:
+    """Max cosine for a training side of any size: blocks x chunks, one cell a task."""
     # rows that repeat an id are told apart by their vector
     test = test.withColumn("_vec_hash", F.xxhash64(vec_col))
     id_cols = [id_col, "_vec_hash"]
     # fresh aliases: train and test often come from one source (self-join lineage)
-    tr = train.select(*[F.col(k).alias(k) for k in keys], F.col(train_id_col).alias("_tid"),
-                      unit_vector(vec_col).alias("_u"))
-    te = test.select(*[F.col(k).alias(k) for k in [*keys, *id_cols]], unit_vector(vec_col).alias("_u"))
+    tr = train.where(_whole(vec_col)).select(*[F.col(k).alias(k) for k in keys], F.size(vec_col).alias("_dim"),
+                                             F.col(train_id_col).alias("_tid"), unit_vector(vec_col).alias("_u"))
+    te = test.where(_whole(vec_col)).select(*[F.col(k).alias(k) for k in [*keys, *id_cols]],
+                                            F.size(vec_col).alias("_dim"), unit_vector(vec_col).alias("_u"))
+    ids, keys = [*keys, *id_cols], [*keys, "_dim"]  # vectors of different lengths never meet
     n_tr = tr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ntr"))
     n_te = te.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nte"))
-    grid = n_tr.join(n_te, keys, "inner").select(
+    grid = join_small(n_tr, n_te, keys, "inner").select(
         *keys,
         F.greatest(F.lit(1), F.ceil(F.col("_ntr") / block_rows)).cast("int").alias("_nb"),
         F.greatest(F.lit(1), F.ceil(F.col("_nte") / chunk_rows)).cast("int").alias("_nc"),
@@ -118,20 +148,19 @@ def max_similarity_per_row(test: DataFrame, train: DataFrame, keys=("project",),
         .select(*keys, *id_cols, "_block", "_chunk", "_u")
     )
     cell = [*keys, "_block", "_chunk"]
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.select(*keys, *id_cols).schema)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in te.select(*keys, *id_cols).schema)
     partial = (
         te_cells.select(*keys, *id_cols, "_u", *cell[len(keys):]).groupBy(*cell)
         .cogroup(tr_cells.groupBy(*cell))
         .applyInPandas(lambda k, l, r: _max_block(k, l[[*keys, *id_cols, "_u", "_block"]], r),
                        f"{key_schema}, block_max double")
     )
-    best = partial.groupBy(*keys, *id_cols).agg(F.max("block_max").alias("sim"))
+    best = partial.groupBy(*ids).agg(F.max("block_max").alias("sim"))
     fresh = best.select(*[F.col(c).alias(c if c == "sim" else f"_best_{c}") for c in best.columns])
     same = F.lit(True)
-    for c in [*keys, *id_cols]:
+    for c in ids:
         same = same & test[c].eqNullSafe(fresh[f"_best_{c}"])
-    kept = test.join(fresh, same, "left").drop(*[f"_best_{c}" for c in [*keys, *id_cols]], "_vec_hash")
-    return done(kept)
+    return test.join(fresh, same, "left").drop(*[f"_best_{c}" for c in ids], "_vec_hash")
 
 
 def similarity_per_row(test: DataFrame, train: DataFrame, mode: str = "mean", keys=("project",),
@@ -174,16 +203,21 @@ def summarise(per_row: DataFrame, group, include_distribution: bool = True, exac
     return with_quantiles(stats, ordered, group, QUANTILE_NAMES).select(*order)
 
 
+def _needed(test: DataFrame, group, id_col: str, vec_col: str) -> DataFrame:
+    """The columns a summary reads; the Arrow pass over the test side carries no others."""
+    return test.select(*dict.fromkeys([*group, id_col, vec_col]))
+
+
 def average_similarity(test: DataFrame, train: DataFrame, mode: str = "mean", keys=("project",),
                        id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per key: mean over test vectors of their mean (or max) cosine to training."""
-    rows = similarity_per_row(test, train, mode, keys, id_col, vec_col)
+    rows = similarity_per_row(_needed(test, keys, id_col, vec_col), train, mode, keys, id_col, vec_col)
     return summarise(rows, list(keys), include_distribution=False)
 
 
 def similarity_distribution(test: DataFrame, train: DataFrame, mode: str = "max", keys=("project",),
                             id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = True) -> DataFrame:
-    rows = similarity_per_row(test, train, mode, keys, id_col, vec_col)
+    rows = similarity_per_row(_needed(test, keys, id_col, vec_col), train, mode, keys, id_col, vec_col)
     return summarise(rows, list(keys), include_distribution=True, exact=exact).drop("similarity")
 
 
@@ -191,5 +225,6 @@ def similarity_by_period(test: DataFrame, train: DataFrame, mode: str = "mean",
                          period_col: str = "period", id_col: str = "vec_id", vec_col: str = "embedding",
                          include_distribution: bool = True, exact: bool = True) -> DataFrame:
     """One row per (keys, test window): the per-window loop becomes one groupBy."""
+    test = _needed(test, [*keys, period_col], id_col, vec_col)
     rows = similarity_per_row(test, train, mode, keys, id_col, vec_col)
     return summarise(rows, [*keys, period_col], include_distribution, exact)

@@ -81,17 +81,69 @@ def test_mean_similarity_centroid_equals_all_pairs(spark):
     assert np.allclose([got[1000 + i] for i in range(40)], brute, atol=1e-12)
 
 
-def test_max_similarity_blocked_equals_all_pairs(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_max_similarity_equals_all_pairs(spark, limit):
     rng = np.random.default_rng(8)
     train, a = _vectors(spark, rng, 90, 6, 0)
     test, b = _vectors(spark, rng, 50, 6, 1000)
-    rows = SIM.max_similarity_per_row(test, train, block_rows=16, chunk_rows=7).collect()
+    rows = SIM.max_similarity_per_row(test, train, block_rows=16, chunk_rows=7, broadcast_bytes=limit).collect()
     got = {r.vec_id: r.sim for r in rows}
     brute = (_unit(b) @ _unit(a).T).max(axis=1)
     assert len(got) == 50
     assert np.allclose([got[1000 + i] for i in range(50)], brute, atol=1e-12)
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_max_similarity_of_messy_vectors(spark, limit):
+    kind = "project string, vec_id long, extra string, _key int, embedding array<double>"
+    nan = float("nan")
+    train = spark.createDataFrame([("p", 1, "t", 0, [1.0, 0.0]), ("p", 1, "t", 0, [1.0, 0.0]), ("p", 2, "t", 0, None),
+                                   ("p", 3, "t", 0, [None, 1.0]), ("p", 4, "t", 0, [nan, 1.0]), ("p", 5, "t", 0, []),
+                                   ("p", 6, "t", 0, [0.0, 0.0, 2.0]), (None, 7, "t", 0, [0.0, 0.0])], kind)
+    rows = [("p", 1, "a", 1, [2.0, 0.0], 1.0), ("p", 1, "b", 2, [2.0, 0.0], 1.0), ("p", 1, "c", 3, [-1.0, 0.0], -1.0),
+            ("p", None, "d", 4, [0.0, 0.0], 0.0), ("p", 2, "e", 5, None, None), ("p", 2, "f", 6, [None, 1.0], None),
+            ("p", 2, "g", 7, [nan, 1.0], None), ("p", 2, "h", 8, [], None), ("p", 3, "i", 9, [0.0, 3.0, 4.0], 0.8),
+            ("p", 3, "j", 10, [1.0] * 4, None), ("q", 3, "k", 11, [1.0, 0.0], None), (None, 3, "l", 12, [1.0, 1.0], 0.0)]
+    test = spark.createDataFrame([r[:5] for r in rows], kind)
+    out = SIM.max_similarity_per_row(test, train, broadcast_bytes=limit)
+    assert out.columns == [*test.columns, "sim"]
+    got = {r.extra: (r._key, r.sim) for r in out.collect()}
+    assert got == {r[2]: (r[3], r[5] if r[5] is None else pytest.approx(r[5])) for r in rows}
+    assert SIM.max_similarity_per_row(test.limit(0), train, broadcast_bytes=limit).count() == 0
+    nothing = SIM.max_similarity_per_row(test, train.limit(0), broadcast_bytes=limit).collect()
+    assert len(nothing) == len(rows) and all(r.sim is None for r in nothing)
+
+
+def test_blocks_that_cannot_win_are_skipped():
+    from driftmon.operators import vector_blocks as V
+
+    class Counted(np.ndarray):
+        used = 0
+
+        @property
+        def T(self):
+            Counted.used += 1
+            return np.asarray(self).T
+
+    rng = np.random.default_rng(5)
+    spots = _unit(rng.normal(size=(12, 24)))
+    blocks = [_unit(s + rng.normal(scale=0.02, size=(40, 24))) for s in spots]
+    centroids = np.stack([b.mean(axis=0) for b in blocks])
+    radii = np.array([np.linalg.norm(b - c, axis=1).max() for b, c in zip(blocks, centroids)])
+    test = _unit(spots[3] + rng.normal(scale=0.02, size=(30, 24)))
+    got = V._best(test, [b.view(Counted) for b in blocks], centroids, radii)
+    assert np.allclose(got, (test @ np.concatenate(blocks).T).max(axis=1), atol=1e-12)
+    assert Counted.used == 1
+
+
+def test_max_similarity_never_shuffles_the_test_side(spark):
+    rng = np.random.default_rng(9)
+    train, _ = _vectors(spark, rng, 30, 4, 0)
+    test, _ = _vectors(spark, rng, 20, 4, 1000)
+    plan = SIM.max_similarity_per_row(test, train)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_distribution_matches_numpy(spark):
     vals = np.random.default_rng(3).normal(size=101)
     df = spark.createDataFrame([("k", float(v)) for v in vals], "k string, sim double")
