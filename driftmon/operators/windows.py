@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from driftmon.functions.dates import coerce_date, parse_wall_clock, parsed_once
 from driftmon.functions.periods import check_split, parse_period, period_dates, period_key
 from driftmon.functions.text import build_text
+from driftmon.operators.joins import join_small
 
 
 def create_time_windows(df: DataFrame, split_type: str, range_size: int, date_col: str = "date",
@@ -104,17 +105,37 @@ def test_windows(df: DataFrame, target: tuple[dt.date, dt.date], split_type: str
     return _where_bounds(df, period_col, lambda ws, we: ws > F.lit(end))
 
 
+def _by_key(df: DataFrame, ranges: DataFrame, keys, period_col: str, cond) -> DataFrame:
+    if "period_start" in df.columns and "period_end" in df.columns:
+        start, end, tmp = F.col("period_start"), F.col("period_end"), df
+    else:
+        tmp = df.withColumn("_period", parsed_once(parse_period(period_col)))
+        start, end = F.col("_period.start"), F.col("_period.end")
+    bounds = ranges.select(*keys, F.col("train_start").alias("_first"), F.col("train_end").alias("_last"))
+    return join_small(tmp, bounds, list(keys)).where(cond(start, end, F.col("_first"), F.col("_last"))) \
+        .drop("_period", "_first", "_last")
+
+
 def train_windows_by_key(df: DataFrame, ranges: DataFrame, keys=("project",),
                          period_col: str = "period") -> DataFrame:
     """Train windows when every key has its own range (``train_start``, ``train_end``).
 
-    ``ranges`` is one row per key (built from arguments, so its size is
-    bounded); the join is an equi-join on the keys with the overlap as condition.
+    ``ranges`` has one row per key; the join is an equi-join on the keys, its
+    side broadcast only if small, with the overlap as condition.  Rows of keys
+    without a range are left out.
     """
-    r = F.broadcast(ranges.select(*keys, "train_start", "train_end"))
-    tmp = df.withColumn("_period", parse_period(period_col)).join(r, list(keys))
-    return tmp.where((F.col("_period.start") <= F.col("train_end"))
-                     & (F.col("_period.end") >= F.col("train_start"))).drop("_period")
+    return _by_key(df, ranges, keys, period_col, lambda ws, we, first, last: (ws <= last) & (we >= first))
+
+
+def test_windows_by_key(df: DataFrame, ranges: DataFrame, split_type: str, keys=("project",),
+                        rule: str = "similarity", period_col: str = "period") -> DataFrame:
+    """Windows after the key's own train range, by the rules of :func:`test_windows`."""
+    s = check_split(split_type, 1)
+    if rule not in ("similarity", "evaluation"):
+        raise ValueError("rule must be 'similarity' or 'evaluation'")
+    if rule == "evaluation" and s == "month":
+        return _by_key(df, ranges, keys, period_col, lambda ws, we, first, last: ws >= F.trunc(last, "month"))
+    return _by_key(df, ranges, keys, period_col, lambda ws, we, first, last: ws > last)
 
 
 def sort_periods(df: DataFrame, period_col: str = "period") -> DataFrame:

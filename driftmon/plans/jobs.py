@@ -82,6 +82,30 @@ def monitor_classifier(windows_df: DataFrame, target, split_type: str, keys=("pr
     return R.report_by_window(scored, keys), scored, model
 
 
+def monitor_projects(texts: DataFrame, ranges: DataFrame, split_type: str, keys=("project",), labels=None,
+                     rule: str = "evaluation", text_col: str = "text", label_col: str = "label",
+                     id_col: str | None = None, candidates=None, **fit_options):
+    """A range and a model per key: all fitted in one job, every later window of each key scored and reported.
+
+    ``texts`` are windowed rows, ``ranges`` has a row per key (``train_start``,
+    ``train_end``).  With ``candidates`` each key's regularisation is chosen on
+    its validation rows.  Returns ``(report, predictions, model, curve)``; the
+    curve is None without candidates.
+    """
+    from driftmon.operators import keyed_model as K
+    from driftmon.operators import report as R
+
+    known = windows.filter_label_set(texts, labels, label_col)
+    train = windows.train_windows_by_key(known, ranges, keys)
+    test = windows.test_windows_by_key(known, ranges, split_type, keys, rule)
+    if candidates:
+        model, curve = K.fit_validated(train, keys, text_col, label_col, id_col, candidates, **fit_options)
+    else:
+        model, curve = K.fit_keyed(train, keys, text_col, label_col, **fit_options), None
+    scored = K.score_keyed(model, test, text_col, label_col)
+    return R.report_by_window(scored, keys), scored, model, curve
+
+
 def monitor_similarity(train_vectors: DataFrame, test_vectors: DataFrame, mode: str = "mean",
                        keys=("project",), id_col: str = "vec_id", include_distribution: bool = True,
                        exact: bool = True) -> DataFrame:

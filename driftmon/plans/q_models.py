@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from driftmon.operators import keyed_model as K
 from driftmon.operators import model as M
 from driftmon.operators import report as R
 from driftmon.operators import similarity as SIM
 from driftmon.operators import windows as W
+from driftmon.plans import jobs
+from driftmon.plans import sql_snippets as S
 from driftmon.plans.catalog import query
 from driftmon.plans.rounding import rounded
 from driftmon.session import scratch_path
@@ -60,6 +65,47 @@ def q_evaluate_classifier(spark, sf_dir):
     return rounded(R.report_by_window(scored))
 
 
+# One range a project.
+RANGES = [("P0", dt.date(1995, 1, 1), dt.date(1996, 12, 31)), ("P1", dt.date(1993, 6, 1), dt.date(1995, 3, 31))]
+
+
+def _ranges(spark):
+    return spark.createDataFrame(RANGES, "project string, train_start date, train_end date")
+
+
+_RANGES_SQL = "(VALUES " + ", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in RANGES) + ") r(project, first, last)"
+
+
+@query("windows_by_project_range", with_views(f"""
+SELECT project, period,
+       CASE WHEN {S.period_start('period')} <= last AND {S.period_end('period')} >= first THEN 'train' ELSE 'test' END AS part,
+       count(*) AS n
+FROM labelled_text JOIN {_RANGES_SQL} USING (project)
+WHERE {S.period_start('period')} > last OR ({S.period_start('period')} <= last AND {S.period_end('period')} >= first)
+GROUP BY ALL""", "labelled_text"))
+def q_windows_by_project_range(spark, sf_dir):
+    """Train and test windows where every project has a range of its own."""
+    texts, ranges = fixtures.labelled_text(spark, sf_dir), _ranges(spark)
+    parts = {"train": W.train_windows_by_key(texts, ranges), "test": W.test_windows_by_key(texts, ranges, "month")}
+    found = [p.groupBy("project", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(k))
+             for k, p in parts.items()]
+    return found[0].unionByName(found[1])
+
+
+@query("monitor_projects")
+def q_monitor_projects(spark, sf_dir):
+    """A range and a model per project, fitted together; one report per later window."""
+    report, _, _, _ = jobs.monitor_projects(fixtures.labelled_text(spark, sf_dir), _ranges(spark), "month", rule="similarity")
+    return rounded(report)
+
+
+@query("validation_curve")
+def q_validation_curve(spark, sf_dir):
+    """Each project's regularisation chosen on its validation rows, all candidates fitted together."""
+    _, curve = K.fit_validated(W.train_windows_by_key(fixtures.labelled_text(spark, sf_dir), _ranges(spark)), id_col="doc_id")
+    return rounded(curve)
+
+
 @query("text_similarity_by_period")
 def q_text_similarity_by_period(spark, sf_dir):
     """Embed the documents' text and measure test windows against the training text."""

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from driftmon.session import scratch_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, schema=None) -> DataFrame:
     """``df`` written once as Parquet and read back: later plans scan files that every executor can reach.
 
-    The folder goes when the application ends.
+    The folder goes when the application ends.  ``schema`` names the types to
+    read back where they differ (a vector type over its plain fields).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -18,4 +19,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
