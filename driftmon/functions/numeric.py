@@ -207,39 +207,48 @@ def probplot(x) -> tuple[np.ndarray, np.ndarray, float, float, float]:
 
 
 # ------------------------------------------------------------------------ DTW
-def _dtw(x: np.ndarray, y: np.ndarray, cells=None):
-    """DTW with |x_i - y_j| cost over ``cells`` (set of (i, j); None = all)."""
+def _dtw(x: np.ndarray, y: np.ndarray, first=None, last=None):
+    """DTW with |x_i - y_j| cost over the columns ``first[i]..last[i]`` of each row (None: all).
+
+    Two rows of costs are held, and one byte a cell for the way back.
+    """
     n, m = x.size, y.size
+    if n == 0 or m == 0:
+        return (0.0 if n == m else math.inf), []
+    if first is None:
+        first, last = np.zeros(n, dtype=np.int64), np.full(n, m - 1, dtype=np.int64)
+    start = np.concatenate([[0], np.cumsum(last - first + 1)]).tolist()
+    move = bytearray(start[-1])
+    first, last = first.tolist(), last.tolist()
     inf = math.inf
-    cost = np.full((n + 1, m + 1), inf)
-    move = np.zeros((n + 1, m + 1), dtype=np.int8)
-    cost[0, 0] = 0.0
-    rows = range(n) if cells is None else sorted({i for i, _ in cells})
-    for i in rows:
-        cols = range(m) if cells is None else sorted(j for (a, j) in cells if a == i)
-        for j in cols:
-            d = abs(x[i] - y[j])
-            up, left, diag = cost[i, j + 1], cost[i + 1, j], cost[i, j]
-            best, step = up, 0
+    above, above_first = [0.0], -1  # the corner before the first cell
+    for i in range(n):
+        lo, hi, at = first[i], last[i], start[i]
+        gap = np.abs(x[i] - y[lo:hi + 1]).tolist()
+        row, left, known = [], inf, len(above)
+        for k, d in enumerate(gap):
+            u = lo + k - above_first
+            best, step = (above[u] if 0 <= u < known else inf), 0
             if left < best:
                 best, step = left, 1
+            diag = above[u - 1] if 0 < u <= known else inf
             if diag < best:
                 best, step = diag, 2
-            cost[i + 1, j + 1] = best + d
-            move[i + 1, j + 1] = step
+            left = best + d
+            row.append(left)
+            move[at + k] = step
+        above, above_first = row, lo
     path = []
-    i, j = n, m
-    while i > 0 or j > 0:
-        path.append((i - 1, j - 1))
-        step = move[i, j]
-        if step == 0:
+    i, j = n - 1, m - 1
+    while i >= 0 and j >= 0:
+        path.append((i, j))
+        step = move[start[i] + j - first[i]]
+        if step != 1:
             i -= 1
-        elif step == 1:
+        if step != 0:
             j -= 1
-        else:
-            i, j = i - 1, j - 1
     path.reverse()
-    return float(cost[n, m]), path
+    return float(above[-1]), path
 
 
 def _coarsen(x: np.ndarray) -> np.ndarray:
@@ -248,18 +257,20 @@ def _coarsen(x: np.ndarray) -> np.ndarray:
 
 
 def _project(path, n: int, m: int, radius: int):
-    near = set()
-    for i, j in path:
-        for a in range(i - radius, i + radius + 1):
-            for b in range(j - radius, j + radius + 1):
-                near.add((a, b))
-    cells = set()
-    for i, j in near:
-        for a in (2 * i, 2 * i + 1):
-            for b in (2 * j, 2 * j + 1):
-                if 0 <= a < n and 0 <= b < m:
-                    cells.add((a, b))
-    return cells
+    """Per fine row the columns within ``radius`` coarse cells of the coarse path.
+
+    The path is connected and never turns back, so they are one interval.
+    """
+    steps = np.array(path)
+    rows = int(steps[-1, 0]) + 1
+    low = steps[np.searchsorted(steps[:, 0], np.arange(rows)), 1]
+    high = steps[np.searchsorted(steps[:, 0], np.arange(rows), side="right") - 1, 1]
+    coarse = np.minimum(np.arange(n) // 2, rows - 1 + radius)
+    first = 2 * (low[np.clip(coarse - radius, 0, rows - 1)] - radius)
+    last = 2 * (high[np.clip(coarse + radius, 0, rows - 1)] + radius) + 1
+    first, last = np.clip(first, 0, m - 1), np.clip(last, 0, m - 1)
+    last[-1] = m - 1
+    return first, last
 
 
 def fastdtw(x, y, radius: int = 1):
@@ -269,7 +280,7 @@ def fastdtw(x, y, radius: int = 1):
     if x.size < radius + 2 or y.size < radius + 2:
         return _dtw(x, y)
     _, coarse = fastdtw(_coarsen(x), _coarsen(y), radius)
-    return _dtw(x, y, _project(coarse, x.size, y.size, radius))
+    return _dtw(x, y, *_project(coarse, x.size, y.size, radius))
 
 
 def dtw_exact(x, y):
