@@ -1,8 +1,9 @@
 """Deterministic per-class sampling and stratified splits.
 
-Rows are ordered inside each group by ``md5(id ':' seed)`` (ties by id), so
-a sample depends only on the data and the seed, never on partitioning, and
-an SQL engine with ``md5`` reproduces it.
+Rows are ordered inside each group by ``md5(id ':' seed)`` (ties by id, then by
+a hash of the whole row), so a sample depends only on the data and the seed,
+never on partitioning, and an SQL engine with ``md5`` reproduces it.  Rows
+without an id are ordered by the hash of their content.
 
 Selecting "the first ``q`` rows of each group in that order" must not rank a
 whole group in one task (one class may hold a third of all rows).  The hash
@@ -30,15 +31,26 @@ from driftmon.operators.joins import join_small
 _SCALE = float(1 << 60)  # 15 hex digits of the md5
 
 
-def hash_order(id_col: str, seed: int) -> tuple[Column, Column]:
-    """(md5 text, its first 60 bits as a fraction in [0, 1)) of ``id ':' seed``."""
-    # rows without an id share one place in the order; ties go by the class rows themselves
-    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+def _content_hash(df: DataFrame) -> Column:
+    """A hash of the whole row (maps have no hash and are left out)."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema if not f.dataType.simpleString().startswith("map<")]
+    return F.xxhash64(*columns)
+
+
+def hash_order(df: DataFrame, id_col: str | None, seed: int) -> tuple[Column, Column]:
+    """(md5 text, its first 60 bits as a fraction in [0, 1)) of ``id ':' seed``.
+
+    A row without an id, or any row where ``id_col`` is None, is placed by its content.
+    """
+    name = _content_hash(df).cast("string")
+    if id_col:
+        name = F.coalesce(F.col(id_col).cast("string"), name)
+    h = F.md5(F.concat(name, F.lit(f":{seed}")))
     u = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint").cast("double") / F.lit(_SCALE)
     return h, u
 
 
-def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str, seed: int = 42,
+def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str | None, seed: int = 42,
                  flag: str = "_selected") -> DataFrame:
     """Add boolean ``flag``: row is among the first ``quota`` of its group in hash order.
 
@@ -46,7 +58,7 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str, seed: in
     (groups missing from it select nothing).  A null class is a class of its own.
     """
     groups = list(groups)
-    h, u = hash_order(id_col, seed)
+    h, u = hash_order(df, id_col, seed)
     base = df.withColumn("_h", h).withColumn("_u", u)  # the counts below scan only the columns they need
     sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     q = F.least(F.col("quota").cast("double"), F.col("_n").cast("double"))
@@ -76,7 +88,9 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str, seed: in
     final = join_small(base, checked, groups, "inner")
     inside = (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
     outside = final.where(~inside).withColumn(flag, F.col("_u") < F.col("_lo"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_h", id_col))
+    # rows that repeat an id are told apart by their content, so only equal rows tie
+    order = ["_h", *([id_col] if id_col else []), _content_hash(df)]
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     bracket = final.where(inside).withColumn(flag, F.col("_below") + rank <= F.col("quota"))
     cols = [*df.columns, flag]
     return outside.select(*cols).unionByName(bracket.select(*cols))
@@ -94,7 +108,7 @@ def _keyed(df: DataFrame, keys):
     return df.withColumn("_key", F.lit(0)), ["_key"], lambda out: out.drop("_key")
 
 
-def sample_per_class(df: DataFrame, label_col: str = "label", id_col: str = "id", n: int = 50,
+def sample_per_class(df: DataFrame, label_col: str = "label", id_col: str | None = "id", n: int = 50,
                      seed: int = 42, keys=()) -> DataFrame:
     """Each class cut to ``min(its size, n)`` rows ("random" strategy)."""
     df, keys, done = _keyed(df, keys)
@@ -102,7 +116,7 @@ def sample_per_class(df: DataFrame, label_col: str = "label", id_col: str = "id"
     return done(select_first(df, [*keys, label_col], quotas, id_col, seed).where("_selected").drop("_selected"))
 
 
-def sample_balanced(df: DataFrame, label_col: str = "label", id_col: str = "id", n: int = 50,
+def sample_balanced(df: DataFrame, label_col: str = "label", id_col: str | None = "id", n: int = 50,
                     seed: int = 42, keys=()) -> DataFrame:
     """Every class cut to ``min(smallest class, n)`` rows."""
     df, keys, done = _keyed(df, keys)
@@ -131,7 +145,7 @@ def largest_remainder_quotas(sizes: DataFrame, keys, label_col: str, total: Colu
     return t.withColumn("quota", F.col("_base") + F.when(F.col("_r") <= F.col("_deficit"), 1).otherwise(0))
 
 
-def sample_stratified(df: DataFrame, label_col: str = "label", id_col: str = "id", n: int = 50,
+def sample_stratified(df: DataFrame, label_col: str = "label", id_col: str | None = "id", n: int = 50,
                       seed: int = 42, keys=()) -> DataFrame:
     """``n x classes`` rows in total (at most all rows), keeping class shares."""
     df, keys, done = _keyed(df, keys)
@@ -142,7 +156,7 @@ def sample_stratified(df: DataFrame, label_col: str = "label", id_col: str = "id
     return done(select_first(df, [*keys, label_col], quotas, id_col, seed).where("_selected").drop("_selected"))
 
 
-def train_validation_split(df: DataFrame, label_col: str = "label", id_col: str = "id",
+def train_validation_split(df: DataFrame, label_col: str = "label", id_col: str | None = "id",
                            split_size: float = 0.3, seed: int = 42, keys=()) -> DataFrame:
     """Add ``split`` = ``validation`` for ``ceil(split_size x N)`` rows per key, by class share."""
     df, keys, done = _keyed(df, keys)

@@ -60,10 +60,11 @@ def distribution_tables(mapped: DataFrame, mode: str, split_type: str | None = N
 def monitor_classifier(windows_df: DataFrame, target, split_type: str, keys=("project",), labels=None,
                        model=None, model_type: str = "logistic", rule: str = "evaluation",
                        sampling: str | None = None, samples_per_class: int = 50, seed: int = 42,
-                       id_col: str = "issue_id", model_path: str | None = None):
+                       id_col: str | None = None, model_path: str | None = None):
     """Train on the range (or reuse ``model``), score later windows, report per window.
 
-    Returns ``(report, predictions, model)``; ``model_path`` saves the fitted model.
+    ``sampling`` cuts the training rows (few-shot runs); without ``id_col``,
+    as cleaned issues have none, rows are ordered by their content.  Returns ``(report, predictions, model)``; ``model_path`` saves the fitted model.
     """
     from driftmon.operators import model as M
     from driftmon.operators import report as R

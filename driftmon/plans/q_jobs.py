@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from driftmon.operators import windows as W
+from driftmon.operators.sampling import sample_training_data
 from driftmon.plans import jobs
 from driftmon.plans import sql_snippets as S
 from driftmon.plans.catalog import ORACLES, query
@@ -51,6 +52,30 @@ def q_monitor_classifier(spark, sf_dir):
     return rounded(report)
 
 
+def _few_shot(spark, sf_dir):
+    w = windowed(spark, sf_dir, "year", 1)
+    train = W.load_model_frame(w, TRAIN, "year", labels=["bug", "feature", "question"])
+    return sample_training_data(train, "balanced", label_col="label", id_col=None, n=20, keys=["project"])
+
+
+@query("few_shot_training_rows", with_views(f"""
+WITH c AS (SELECT project, label, count(*) AS n FROM ({S.windowed_issues("year", 1)}) w
+           WHERE {S.period_start('period')} <= DATE '{TRAIN[1]}' AND {S.period_end('period')} >= DATE '{TRAIN[0]}'
+             AND label IN ('bug', 'feature', 'question') GROUP BY project, label)
+SELECT project, label, least(min(n) OVER (PARTITION BY project), 20) AS n FROM c""", "issues"))
+def q_few_shot_training_rows(spark, sf_dir):
+    """Balanced training rows of cleaned issues, which carry no id."""
+    return _few_shot(spark, sf_dir).groupBy("project", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("monitor_classifier_few_shot")
+def q_monitor_classifier_few_shot(spark, sf_dir):
+    """The classifier job on 20 rows a class and project, one report per later window."""
+    report, _, _ = jobs.monitor_classifier(windowed(spark, sf_dir, "year", 1), TRAIN, "year", sampling="balanced",
+                                           samples_per_class=20, labels=["bug", "feature", "question"])
+    return rounded(report)
+
+
 @query("relate_similarity_to_quality")
 def q_relate(spark, sf_dir):
     test, train = split_vectors(spark, sf_dir)

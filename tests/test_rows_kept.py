@@ -60,3 +60,12 @@ def test_report_of_a_window_without_the_labels_asked_for(spark):
     pred = spark.createDataFrame([("p", "w1", "a", "a"), ("p", "w2", "c", "c")], "project string, period string, y_true string, y_pred string")
     out = R.report_by_window(pred, labels=["a", "b"]).where(F.col("class") == "accuracy")
     assert {r.period: r.f1_score for r in out.where("scope = 'window'").collect()} == {"w1": 1.0, "w2": 0.0}
+
+
+def test_samples_without_ids_do_not_depend_on_partitions(spark):
+    rows = [(i if i % 3 else None, "ab"[i % 2], f"text {i}") for i in range(120)] + [(5, "a", "again"), (5, "a", "and again")]
+    df = spark.createDataFrame(rows, "id long, label string, text string")
+    for id_col in ("id", None):
+        one = S.sample_per_class(df.repartition(1), id_col=id_col, n=15).collect()
+        many = S.sample_per_class(df.repartition(9, "text"), id_col=id_col, n=15).collect()
+        assert len(one) == 30 and sorted(r.text for r in one) == sorted(r.text for r in many)
