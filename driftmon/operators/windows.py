@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from driftmon.functions.dates import coerce_date, parse_wall_clock, parsed_once
 from driftmon.functions.periods import check_split, parse_period, period_dates, period_key
-from driftmon.functions.text import build_text
+from driftmon.functions.labels_index import index_labels, label_dictionary
+from driftmon.functions.text import build_text, na_tokens_to_null
 from driftmon.operators.joins import join_small
 
+CELLS = ("title", "body", "label", "date")
+
 
 def create_time_windows(df: DataFrame, split_type: str, range_size: int, date_col: str = "date",
                         on_bad_date: str = "drop") -> DataFrame:
@@ -150,11 +153,16 @@ def filter_label_set(df: DataFrame, labels, label_col: str = "label") -> DataFra
 
 def load_model_frame(windows: DataFrame, target: tuple[dt.date, dt.date], split_type: str,
                      test: bool = False, exact: bool = False, rule: str = "similarity",
-                     labels=None, null_as_empty: bool = False, period_col: str = "period") -> DataFrame:
-    """Windows of a range as a model frame: ``text`` built, labels filtered.
+                     labels=None, null_as_empty: bool = False, period_col: str = "period",
+                     na_cells: bool = True, label_ids: bool = False, require_rows: bool = False) -> DataFrame:
+    """Windows of a range as a model frame: missing cells null, ``text`` built, labels filtered.
 
     train (``test=False``): overlapping windows; ``test`` + ``exact``: the one
-    window; ``test``: every window after the range by ``rule``.
+    window; ``test``: every window after the range by ``rule``.  ``na_cells``
+    reads empty cells and the NA spellings of title, body, label and a date
+    still in text as missing.  ``label_ids`` adds ``label_id``, the place of
+    the label in the sorted ``labels`` (or the labels found).  With
+    ``require_rows`` a range without rows is an error (one small extra job).
     """
     if not test:
         chosen = train_windows(windows, target, period_col)
@@ -162,9 +170,18 @@ def load_model_frame(windows: DataFrame, target: tuple[dt.date, dt.date], split_
         chosen = exact_window(windows, target, period_col)
     else:
         chosen = test_windows(windows, target, split_type, rule, period_col)
+    if na_cells:
+        cells = [f.name for f in chosen.schema if f.name in CELLS and f.dataType.simpleString() == "string"]
+        chosen = chosen.withColumns({c: na_tokens_to_null(c) for c in cells})
+    if require_rows and chosen.limit(1).count() == 0:
+        kind = "test" if test else "training"
+        raise ValueError(f"no {kind} rows for {target[0]} to {target[1]} ({split_type} windows)")
     chosen = filter_label_set(chosen, labels)
     if dict(chosen.dtypes).get("date") == "string":
         chosen = chosen.withColumn("date", coerce_date("date"))
+    if label_ids:
+        known = chosen.where(F.col("label").isNotNull())
+        chosen = index_labels(known, label_dictionary(known, "label", labels))
     return chosen.withColumn(
         "text", build_text("title", "body", null_as_empty)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftmon.operators import cleaning, distribution, windows
 from driftmon.operators.collections import select_collections
@@ -71,7 +72,7 @@ def monitor_classifier(windows_df: DataFrame, target, split_type: str, keys=("pr
     from driftmon.operators.sampling import sample_training_data
 
     if model is None:
-        train = windows.load_model_frame(windows_df, target, split_type, labels=labels)
+        train = windows.load_model_frame(windows_df, target, split_type, labels=labels, require_rows=True)
         if sampling:
             train = sample_training_data(train, sampling, label_col="label", id_col=id_col,
                                          n=samples_per_class, seed=seed, keys=keys)
@@ -117,6 +118,42 @@ def monitor_similarity(train_vectors: DataFrame, test_vectors: DataFrame, mode:
                                     include_distribution=include_distribution, exact=exact)
 
 
+def monitor_text_similarity(texts: DataFrame, target, split_type: str, keys=("project",), mode: str = "mean",
+                            validation: float = 0.3, sampling: str | None = "balanced", samples_per_class: int = 50,
+                            seed: int = 42, rule: str = "similarity", dim: int = 512, text_col: str = "text",
+                            label_col: str = "label", id_col: str | None = None, period_col: str = "period",
+                            include_distribution: bool = True) -> DataFrame:
+    """Similarity of every later window's text to the training text, one row per (keys, window).
+
+    The range's rows without their validation share (``validation``, 0 keeps
+    all), cut by ``sampling``, are the training text.  One encoder is fitted on
+    it and applied to it and to every test row.
+    """
+    from driftmon.operators import model as M
+    from driftmon.operators import sampling as SA
+    from driftmon.operators import similarity as SIM
+    from driftmon.sources.scratch import written
+
+    keys = list(keys)
+    named = [label_col, *([id_col] if id_col else [])]
+    train = windows.train_windows(texts, target, period_col).select(*dict.fromkeys([*keys, period_col, text_col, *named]))
+    train = written(train, "similarity-range")  # split and sample read it several times
+    if validation:
+        split = SA.train_validation_split(train, label_col, id_col, validation, seed, keys)
+        train = split.where("split = 'train'").drop("split")
+    if sampling:
+        train = SA.sample_training_data(train, sampling, label_col=label_col, id_col=id_col,
+                                        n=samples_per_class, seed=seed, keys=keys)
+    test = windows.test_windows(texts, target, split_type, rule, period_col)
+    columns = [*keys, period_col, text_col]
+    train = written(train.select(*columns), "similarity-train")
+    both = train.withColumn("_part", F.lit("train")).unionByName(test.select(*columns).withColumn("_part", F.lit("test")))
+    embedded = written(M.embed_text(train, both, text_col, dim).drop(text_col), "similarity-vectors")
+    sides = {p: embedded.where(F.col("_part") == p).drop("_part").withColumn("vec_id", F.lit(0)) for p in ("train", "test")}
+    return SIM.similarity_by_period(sides["test"], sides["train"], mode, keys, period_col,
+                                    include_distribution=include_distribution)
+
+
 def relate_similarity_to_quality(similarity: DataFrame, report: DataFrame, keys=("project",),
                                  use_deltas: bool = False, normalize: bool = True, split_type: str = "month"):
     """Pair the series, then normality, the automatic correlation test, DTW and (month) yearly tests.

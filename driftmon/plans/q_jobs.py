@@ -13,7 +13,7 @@ from driftmon.plans import sql_snippets as S
 from driftmon.plans.catalog import ORACLES, query
 from driftmon.plans.q_prepare import mapped_issues, windowed
 from driftmon.plans.q_similarity import split_vectors
-from driftmon.plans.rounding import rounded
+from driftmon.plans.rounding import r, rounded
 from driftmon.session import scratch_path
 from driftmon.sources import fixtures
 from driftmon.sources.fixtures import with_views
@@ -76,6 +76,28 @@ def q_monitor_classifier_few_shot(spark, sf_dir):
     return rounded(report)
 
 
+@query("write_read_runs", with_views(f"""
+WITH c AS (SELECT project, period, count(*) AS support FROM predictions GROUP BY project, period),
+p AS (SELECT project, period, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM predictions GROUP BY project, period)
+SELECT 'logistic' AS model_type, '1995-01-01' AS train_start, project, period, {r("accuracy")} AS f1_score, support
+FROM c JOIN p USING (project, period) WHERE project = 'P1'
+UNION ALL SELECT 'naive_bayes', '1995-01-01', project, period, {r("accuracy")}, support FROM c JOIN p USING (project, period)""",
+                                    "predictions"))
+def q_write_read_runs(spark, sf_dir):
+    """Two runs' reports written, one written again with fewer projects, both read back."""
+    from driftmon.operators import report as R
+    from driftmon.sources.issues_io import read_runs, write_run
+
+    path = scratch_path(spark, "runs")
+    report = R.report_by_window(fixtures.predictions(spark, sf_dir)).where("class = 'accuracy' AND scope = 'window'")
+    run = {"split_type": "month", "range": 1, "train_start": TRAIN[0], "train_end": TRAIN[1]}
+    write_run(report, path, {"model_type": "logistic", **run})
+    write_run(report, path, {"model_type": "naive_bayes", **run})
+    write_run(report.where("project = 'P1'"), path, {"model_type": "logistic", **run})
+    both = read_runs(spark, path, train_end=TRAIN[1])
+    return rounded(both.select("model_type", "train_start", "project", "period", "f1_score", "support"))
+
+
 @query("relate_similarity_to_quality")
 def q_relate(spark, sf_dir):
     test, train = split_vectors(spark, sf_dir)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from driftmon.operators import keyed_model as K
 from driftmon.operators import model as M
 from driftmon.operators import report as R
-from driftmon.operators import similarity as SIM
 from driftmon.operators import windows as W
 from driftmon.plans import jobs
 from driftmon.plans import sql_snippets as S
@@ -106,11 +105,19 @@ def q_validation_curve(spark, sf_dir):
     return rounded(curve)
 
 
+def _text_similarity(spark, sf_dir):
+    return jobs.monitor_text_similarity(fixtures.labelled_text(spark, sf_dir), TRAIN, "month", id_col="doc_id", dim=256)
+
+
 @query("text_similarity_by_period")
 def q_text_similarity_by_period(spark, sf_dir):
-    """Embed the documents' text and measure test windows against the training text."""
-    train, test = _split_text(spark, sf_dir)
-    both = train.withColumn("_part", F.lit("train")).unionByName(test.withColumn("_part", F.lit("test")))
-    embedded = M.embed_text(train, both, dim=256)  # fitted once
-    emb_train, emb_test = (embedded.where(F.col("_part") == p).drop("_part") for p in ("train", "test"))
-    return rounded(SIM.similarity_by_period(emb_test, emb_train, "mean", id_col="doc_id"))
+    """The similarity job from text: split, sample, embed, and measure every later window."""
+    return rounded(_text_similarity(spark, sf_dir))
+
+
+@query("text_similarity_windows", with_views(f"""
+SELECT project, period, count(*) AS num_samples FROM labelled_text
+WHERE {S.period_start('period')} > DATE '{TRAIN[1]}' GROUP BY project, period""", "labelled_text"))
+def q_text_similarity_windows(spark, sf_dir):
+    """Windows and rows of the similarity job."""
+    return _text_similarity(spark, sf_dir).select("project", "period", "num_samples")

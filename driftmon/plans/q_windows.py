@@ -98,8 +98,43 @@ def q_exact_window(spark, sf_dir):
     return _counts(W.exact_window(windowed(spark, sf_dir, "month", 1), EXACT))
 
 
+_NA_CELLS = ", ".join(S.q(t) for t in (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null"))
+
+
+def _cell(c: str) -> str:
+    return f"CASE WHEN {c} IN ({_NA_CELLS}) THEN NULL ELSE {c} END"
+
+
+def _odd_cells(spark, sf_dir):
+    """Windows in which some titles, bodies and labels are empty or spell a missing value."""
+    n = F.length(F.coalesce("body", F.lit("")))
+    return windowed(spark, sf_dir, "year", 1).withColumns({
+        "title": F.when(n % 7 == 0, "NA").when(n % 7 == 1, "").otherwise(F.col("title")),
+        "label": F.when(n % 11 == 0, "null").otherwise(F.col("label")),
+        "body": F.when(n % 5 == 0, "").when(n % 5 == 1, "n/a").otherwise(F.col("body"))})
+
+
+@query("model_frame_missing_cells", with_views(f"""
+WITH w AS (SELECT *, length(coalesce(body, '')) AS n FROM ({S.windowed_issues("year", 1)}) w0),
+odd AS (SELECT project, period, CASE WHEN n % 7 = 0 THEN 'NA' WHEN n % 7 = 1 THEN '' ELSE title END AS title,
+               CASE WHEN n % 11 = 0 THEN 'null' ELSE label END AS label,
+               CASE WHEN n % 5 = 0 THEN '' WHEN n % 5 = 1 THEN 'n/a' ELSE body END AS body FROM w),
+cells AS (SELECT project, period, {_cell("label")} AS label, {_cell("title")} AS title, {_cell("body")} AS body FROM odd)
+SELECT project, period, label, CASE label WHEN 'bug' THEN 0 ELSE 1 END AS label_id, coalesce(title || ' ' || body, '') AS text
+FROM cells
+WHERE {S.period_start('period')} <= DATE '{TRAIN_YEARS[1]}' AND {S.period_end('period')} >= DATE '{TRAIN_YEARS[0]}'
+  AND label IN ('bug', 'feature')""", "issues"))
+def q_model_frame_missing_cells(spark, sf_dir):
+    """Missing cells, label ids and the range check of the model frame."""
+    f = W.load_model_frame(_odd_cells(spark, sf_dir), TRAIN_YEARS, "year", labels=["bug", "feature"], label_ids=True,
+                           require_rows=True)
+    return f.select("project", "period", "label", "label_id", "text")
+
+
 @query("model_frame", with_views(f"""
-SELECT project, period, label, coalesce(title || ' ' || body, '') AS text,
+SELECT project, period, label, coalesce({_cell("title")} || ' ' || {_cell("body")}, '') AS text,
        strftime(date, '%Y-%m-%d %H:%M:%S') AS date
 FROM ({S.windowed_issues("year", 1)}) w
 WHERE {S.period_start('period')} <= DATE '{TRAIN_YEARS[1]}' AND {S.period_end('period')} >= DATE '{TRAIN_YEARS[0]}'

@@ -6,6 +6,8 @@ partition values such as ``1999_1999`` stay strings).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +131,49 @@ def read_table_at(spark: SparkSession, path: str, fmt: str = "parquet", schema=N
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(f"no results at {path}") from e
+
+
+#: What names a run of a classifier or a similarity job; result tables are foldered by it.
+RUN_COLUMNS = ("model_type", "split_type", "range", "train_start", "train_end")
+_RUN_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
+
+
+def _run_values(run: dict) -> dict[str, str]:
+    unknown = set(run) - set(RUN_COLUMNS)
+    if unknown:
+        raise ValueError(f"not part of a run's name: {sorted(unknown)}; known: {', '.join(RUN_COLUMNS)}")
+    values = {c: str(run[c]) for c in RUN_COLUMNS if c in run}
+    for c, v in values.items():
+        if not _RUN_VALUE.fullmatch(v):
+            raise ValueError(f"{c} {v!r} cannot name a folder")
+    return values
+
+
+def write_run(df: DataFrame, path: str, run: dict) -> None:
+    """The results of one run: replaces exactly that run's rows, so a rerun changes nothing else.
+
+    ``run`` gives every one of ``RUN_COLUMNS``; they become folders below
+    ``path``.  A run with no rows is kept as an empty one.
+    """
+    values = _run_values(run)
+    missing = [c for c in RUN_COLUMNS if c not in values]
+    if missing:
+        raise ValueError(f"a run needs {', '.join(missing)}")
+    clash = sorted(set(df.columns) & set(RUN_COLUMNS))
+    if clash:
+        raise ValueError(f"columns named like parts of a run: {', '.join(clash)}")
+    df.write.mode("overwrite").parquet("/".join([path.rstrip("/"), *(f"{c}={v}" for c, v in values.items())]))
+
+
+def read_runs(spark: SparkSession, path: str, **run) -> DataFrame:
+    """Results of the runs that match ``run`` (all without arguments), run columns as strings.
+
+    The choice prunes folders.  No matching run gives no rows; a missing table
+    is an error naming it.
+    """
+    found = read_table_at(spark, path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in RUN_COLUMNS else f for f in found])
+    df = read_table_at(spark, path, schema=schema)
+    for c, v in _run_values(run).items():
+        df = df.where(F.col(c) == v)
+    return df
