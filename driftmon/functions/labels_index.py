@@ -24,8 +24,14 @@ def label_dictionary(df: DataFrame, label_col: str = "label", labels=None) -> Da
 
 
 def index_labels(df: DataFrame, dictionary: DataFrame, label_col: str = "label") -> DataFrame:
-    """Add ``label_id``; rows whose label is not in the dictionary are dropped."""
-    return join_small(df, dictionary, label_col, "inner")
+    """Add ``label_id``; a label missing from the dictionary is an error, a null label has a null id.
+
+    Rows of other classes are left out beforehand by ``filter_label_set``.
+    """
+    joined = join_small(df, dictionary, label_col, "left")
+    lost = F.raise_error(F.concat(F.lit("label without an id: "), F.col(label_col)))
+    return joined.withColumn("label_id", F.when(F.col("label_id").isNull() & F.col(label_col).isNotNull(), lost.cast("int"))
+                             .otherwise(F.col("label_id")))
 
 
 def unindex_labels(df: DataFrame, dictionary: DataFrame, id_col: str = "label_id",

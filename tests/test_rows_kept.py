@@ -69,3 +69,15 @@ def test_samples_without_ids_do_not_depend_on_partitions(spark):
         one = S.sample_per_class(df.repartition(1), id_col=id_col, n=15).collect()
         many = S.sample_per_class(df.repartition(9, "text"), id_col=id_col, n=15).collect()
         assert len(one) == 30 and sorted(r.text for r in one) == sorted(r.text for r in many)
+
+
+def test_a_label_without_an_id_is_an_error(spark):
+    import pytest
+
+    from driftmon.functions.labels_index import index_labels, label_dictionary
+
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "label string")
+    got = {r.label: r.label_id for r in index_labels(df, label_dictionary(df)).collect()}
+    assert got == {"a": 0, "b": 1, None: None}
+    with pytest.raises(Exception, match="label without an id"):
+        index_labels(df, label_dictionary(df, labels=["a"])).collect()
