@@ -36,7 +36,13 @@ def read_issue_stream(spark: SparkSession, path: str, fmt: str = "json", max_fil
 
 def window_distribution_stream(stream: DataFrame, split_type: str = "year", range_size: int = 1,
                                watermark: str | None = None, delay: str = "30 days") -> DataFrame:
-    """Running class counts per (project, window) of a stream of raw issue rows."""
+    """Running class counts per (project, window) of a stream of raw issue rows.
+
+    With ``watermark`` repeated rows are dropped within ``delay`` of each
+    other; an issue whose date is older than the latest one seen by more than
+    ``delay`` comes too late and is not counted.  Without it every row counts
+    and repeated rows are kept.
+    """
     rows = stream.select("project", *[strip_nul(c).alias(c) for c in ("title", "body", "label", "date")])
     rows = rows.where(is_valid_date("date"))
     if watermark:
