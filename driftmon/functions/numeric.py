@@ -36,6 +36,15 @@ def norm_ppf(p):
     return np.vectorize(_STD.inv_cdf, otypes=[float])(p) if p.size else p
 
 
+def norm_logcdf(x):
+    """Logarithm of the normal distribution function, finite far below where the function is zero in doubles."""
+    x = np.asarray(x, dtype=float)
+    far = x < -37.0
+    near = np.log(norm_cdf(np.where(far, 0.0, x)))
+    t = np.where(far, x, -37.0)
+    return np.where(far, -0.5 * t * t - np.log(-t * math.sqrt(2.0 * math.pi)) + np.log1p(-1.0 / (t * t)), near)
+
+
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta I_x(a, b)."""
     if x <= 0.0:
@@ -148,22 +157,26 @@ def shapiro(x) -> tuple[float, float]:
     xc = x - x.mean()
     w = float(np.dot(weights, x) ** 2 / (np.dot(weights, weights) * np.dot(xc, xc)))
     w = min(w, 1.0)
+    return w, shapiro_p(w, n)
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """Royston's p-value of a Shapiro-Wilk statistic ``w`` of ``n`` values."""
     if n == 3:
-        pw = 1.90985931710274 * (math.asin(math.sqrt(max(w, 0.75))) - 1.04719755119660)
-        return w, max(pw, 0.0)
+        return max(1.90985931710274 * (math.asin(math.sqrt(max(w, 0.75))) - 1.04719755119660), 0.0)
     y = math.log1p(-w) if w < 1.0 else -math.inf
     if n <= 11:
         gamma = _poly(_G, n)
         if y >= gamma:
-            return w, 1e-19
+            return 1e-19
         y = -math.log(gamma - y)
         mu, sd = _poly(_C3, n), math.exp(_poly(_C4, n))
     else:
         ln = math.log(n)
         mu, sd = _poly(_C5, ln), math.exp(_poly(_C6, ln))
     if y == -math.inf:
-        return w, 1.0
-    return w, float(norm_sf((y - mu) / sd))
+        return 1.0
+    return float(norm_sf((y - mu) / sd))
 
 
 # Stephens' normal-case critical points and their levels (%).
@@ -181,7 +194,7 @@ def anderson_normal(x, points=ANDERSON_NORMAL_POINTS) -> tuple[float, list[float
     logsf = np.log(norm_sf(z))
     i = np.arange(1, n + 1)
     a2 = -n - float(np.sum((2 * i - 1.0) / n * (logcdf + logsf[::-1])))
-    crit = [round(p / (1.0 + 4.0 / n - 25.0 / n / n), 3) for p in points]
+    crit = [float(np.around(p / (1.0 + 4.0 / n - 25.0 / n / n), 3)) for p in points]
     return a2, crit
 
 

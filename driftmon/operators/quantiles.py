@@ -13,6 +13,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmon.operators.joins import join_small
 from driftmon.sources.scratch import written
 
 
@@ -66,3 +67,25 @@ def with_quantiles(stats: DataFrame, ordered: DataFrame, keys, names: dict[str,
     found = quantiles_of(ordered, keys, names)
     renamed = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *names)
     return stats.join(renamed, _same(stats, renamed, keys), "left").drop(*(f"_{k}" for k in keys))
+
+
+def ranked_values(ordered: DataFrame, keys) -> DataFrame:
+    """keys, v, i, n, mean, m2: every value with its place from 1, and its group's size, mean and squared deviations.
+
+    ``ordered`` is a result of :func:`ordered_values`; null and NaN values are
+    left out.  Places come from counts by group and partition (one narrow row
+    each), so no group's rows meet in one task.  No key may be called like one
+    of the new columns.
+    """
+    keys = list(keys)
+    values = ordered.where("v is not null and not isnan(v)").withColumn("part", F.shiftright("at", 33))
+    runs = written(values.groupBy(*keys, "part").agg(F.min("at").alias("first"), F.count("*").alias("k"), F.avg("v").alias("part_mean"),
+                                                     F.var_pop("v").alias("part_var")), "runs")
+    so_far = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    all_of = Window.partitionBy(*keys)
+    runs = runs.withColumns({"before": F.coalesce(F.sum("k").over(so_far), F.lit(0)), "n": F.sum("k").over(all_of)})
+    runs = runs.withColumn("mean", F.sum(F.col("k") * F.col("part_mean")).over(all_of) / F.col("n"))
+    spread = F.col("k") * (F.col("part_var") + F.pow(F.col("part_mean") - F.col("mean"), 2))
+    runs = runs.withColumn("m2", F.sum(spread).over(all_of)).drop("k", "part_mean", "part_var")
+    placed = join_small(values, runs, [*keys, "part"])
+    return placed.select(*keys, "v", (F.col("at") - F.col("first") + F.col("before") + 1).alias("i"), "n", "mean", "m2")

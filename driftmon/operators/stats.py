@@ -1,10 +1,9 @@
-"""Normality, correlation and histogram operators over many series at once.
+"""Correlation and histogram operators over many series at once.
 
 Coefficients, ranks, scaling and histograms are SQL aggregates and window
-functions.  Only what has no SQL form runs in Python: the p-values (a scalar
-pandas UDF over ``(r, n)`` columns) and the normality kernels
-(``applyInPandas`` with one series per group; a series is one row per
-window, so a group is small while the number of series can be large).
+functions.  Only the p-values, which have no SQL form, run in Python (a
+scalar pandas UDF over ``(r, n)`` columns).  Normality is in
+:mod:`driftmon.operators.normality`.
 """
 
 from __future__ import annotations
@@ -19,9 +18,9 @@ from pyspark.sql.types import DoubleType
 from driftmon.functions import numeric as K
 from driftmon.functions.periods import period_year
 from driftmon.operators.joins import join_small
+from driftmon.operators.normality import ALPHA, check_normality, qq_points  # noqa: F401
 from driftmon.operators.quantiles import ordered_values, with_quantiles
-
-ALPHA = 0.05
+from driftmon.sources.scratch import written
 
 
 @pandas_udf(DoubleType())
@@ -59,66 +58,6 @@ def spearman(df: DataFrame, x: str, y: str, keys=("project",), with_p: bool = Tr
     return pearson(ranked, "_rx", "_ry", keys, with_p)
 
 
-def _unpivot(df: DataFrame, cols, keys) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols]
-    return df.select(*keys, F.explode(F.array(*pairs)).alias("_s")).select(*keys, "_s.variable", "_s.value")
-
-
-def _key_schema(df: DataFrame, keys) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-
-NORMALITY_FIELDS = ("n long, shapiro_statistic double, shapiro_p_value double, anderson_statistic double, "
-                    "anderson_critical_values array<double>, anderson_significance_levels array<double>, "
-                    "is_normal boolean")
-
-
-def check_normality(df: DataFrame, cols, keys=("project",), alpha: float = ALPHA,
-                    critical_points=K.ANDERSON_NORMAL_POINTS,
-                    significance_levels=K.ANDERSON_NORMAL_LEVELS) -> DataFrame:
-    """Shapiro-Wilk and Anderson-Darling per key and variable; normal when Shapiro p > alpha."""
-    keys = list(keys)
-    long = _unpivot(df, cols, keys).where(F.col("value").isNotNull())
-    levels = [float(v) for v in significance_levels]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["value"].to_numpy(dtype=float)
-        row = {k: pdf[k].iloc[0] for k in [*keys, "variable"]}
-        row["n"] = int(v.size)
-        if v.size >= 3:
-            w, p = K.shapiro(v)
-            a2, crit = K.anderson_normal(v, critical_points) if v.std() > 0 else (float("nan"), [])
-        else:
-            w = p = a2 = float("nan")
-            crit = []
-        row.update(shapiro_statistic=w, shapiro_p_value=p, anderson_statistic=a2,
-                   anderson_critical_values=[float(c) for c in crit], anderson_significance_levels=levels,
-                   is_normal=bool(p > alpha) if v.size >= 3 else None)
-        return pd.DataFrame([row])
-
-    schema = f"{_key_schema(df, keys)}, variable string, {NORMALITY_FIELDS}"
-    return long.groupBy(*keys, "variable").applyInPandas(run, schema)
-
-
-def qq_points(df: DataFrame, cols, keys=("project",)) -> DataFrame:
-    """Ordered values against normal order-statistic medians, with the fitted line."""
-    keys = list(keys)
-    long = _unpivot(df, cols, keys).where(F.col("value").isNotNull())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["value"].to_numpy(dtype=float)
-        osm, osr, slope, intercept, r = K.probplot(v)
-        out = pd.DataFrame({"i": np.arange(1, v.size + 1), "theoretical": osm, "ordered": osr})
-        for k in [*keys, "variable"]:
-            out[k] = pdf[k].iloc[0]
-        out["slope"], out["intercept"], out["r"] = slope, intercept, r
-        return out[[*keys, "variable", "i", "theoretical", "ordered", "slope", "intercept", "r"]]
-
-    schema = (f"{_key_schema(df, keys)}, variable string, i long, theoretical double, ordered double, "
-              "slope double, intercept double, r double")
-    return long.groupBy(*keys, "variable").applyInPandas(run, schema)
-
-
 def density_histogram(df: DataFrame, col: str, keys=("project",)) -> DataFrame:
     """Density histogram per key with the automatic bin rule, exact quartiles from one range sort.
 
@@ -166,8 +105,12 @@ def _choose_method(norm: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 
 def auto_correlation_test(df: DataFrame, x: str, y: str, keys=("project",), alpha: float = ALPHA) -> DataFrame:
-    """Pearson when both series pass Shapiro-Wilk, else Spearman; r, p, n, significance."""
+    """Pearson when both series pass Shapiro-Wilk, else Spearman; r, p, n, significance.
+
+    The paired series are written once; the tests and both coefficients read them.
+    """
     keys = list(keys)
+    df = written(df.select(*keys, x, y), "paired-series")
     method = _choose_method(check_normality(df, [x, y], keys, alpha), keys, x, y)
     p = pearson(df, x, y, keys).select(*keys, "n", F.col("r").alias("r_p"), F.col("p").alias("p_p"))
     s = spearman(df, x, y, keys).select(*keys, F.col("r").alias("r_s"), F.col("p").alias("p_p_s"))
@@ -187,6 +130,6 @@ def yearly_correlation(df: DataFrame, x: str, y: str, keys=("project",), period_
     """The automatic test per key and calendar year; years with < ``min_points`` are skipped."""
     keys = list(keys)
     yearly = df.withColumn("year", period_year(period_col))
-    counts = yearly.groupBy(*keys, "year").agg(F.count(F.lit(1)).alias("_n"))
-    kept = yearly.join(counts.where(F.col("_n") >= min_points).drop("_n"), [*keys, "year"], "left_semi")
+    of_year = Window.partitionBy(*keys, "year")
+    kept = yearly.withColumn("_n", F.count(F.lit(1)).over(of_year)).where(F.col("_n") >= min_points).drop("_n")
     return auto_correlation_test(kept, x, y, [*keys, "year"], alpha)

@@ -12,6 +12,7 @@ from driftmon.plans import jobs
 from driftmon.plans import sql_snippets as S
 from driftmon.plans.catalog import ORACLES, query
 from driftmon.plans.q_prepare import mapped_issues, windowed
+from driftmon.plans.q_series import AUTO_TEST_SQL
 from driftmon.plans.q_similarity import split_vectors
 from driftmon.plans.rounding import r, rounded
 from driftmon.session import scratch_path
@@ -98,7 +99,7 @@ def q_write_read_runs(spark, sf_dir):
     return rounded(both.select("model_type", "train_start", "project", "period", "f1_score", "support"))
 
 
-@query("relate_similarity_to_quality")
+@query("relate_similarity_to_quality", AUTO_TEST_SQL)
 def q_relate(spark, sf_dir):
     test, train = split_vectors(spark, sf_dir)
     sim = jobs.monitor_similarity(train, test, "mean", include_distribution=False)
@@ -109,7 +110,7 @@ def q_relate(spark, sf_dir):
     return rounded(out["correlation"])
 
 
-@query("performance_timeline_job")
+@query("performance_timeline_job", ORACLES["performance_timeline"])
 def q_timeline_job(spark, sf_dir):
     from driftmon.operators import report as R
 

@@ -14,6 +14,7 @@ from driftmon.plans.catalog import query
 from driftmon.plans.q_reports import REPORT_SQL
 from driftmon.plans.q_similarity import _per_row_sql, split_vectors
 from driftmon.plans.rounding import r, rounded
+from driftmon.plans.sql_normality import correlation_p, long_ctes, normality_ctes, quantile_ctes
 from driftmon.sources import fixtures
 from driftmon.sources.fixtures import with_views
 
@@ -135,9 +136,18 @@ def q_density_histogram(spark, sf_dir):
     return rounded(ST.density_histogram(macro_f1(spark, sf_dir), "f1_macro"))
 
 
-# ---- rows-only: kernels without an SQL form (tested against brute force in tests/)
+def _correlations(src: str, x: str, y: str, g: str = "project") -> str:
+    """CTEs ``pearson`` and ``spearman``: n and r by ``g`` of the rows of ``src`` that have both values."""
+    rank = f"rank() OVER (PARTITION BY {g} ORDER BY {{c}}) + (count(*) OVER (PARTITION BY {g}, {{c}}) - 1) / 2.0"
+    return f"""both_values AS (SELECT {g}, {x} AS x, {y} AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+average_ranks AS (SELECT {g}, {rank.format(c='x')} AS x, {rank.format(c='y')} AS y FROM both_values),
+pearson AS (SELECT {g}, count(*) AS n, {_R_SQL.format(x='x', y='y')} AS r FROM both_values GROUP BY {g}),
+spearman AS (SELECT {g}, count(*) AS n, {_R_SQL.format(x='x', y='y')} AS r FROM average_ranks GROUP BY {g})"""
 
-@query("correlation_test")
+
+@query("correlation_test", _sql(f""", {_correlations('paired', 'similarity', 'f1_macro')}
+SELECT project, n, {r('r')} AS r, {r(correlation_p('r', 'n'))} AS p, 'Pearson' AS method FROM pearson
+UNION ALL SELECT project, n, {r('r')}, {r(correlation_p('r', 'n'))}, 'Spearman' FROM spearman"""))
 def q_correlation_test(spark, sf_dir):
     p = paired(spark, sf_dir)
     a = ST.pearson(p, "similarity", "f1_macro").withColumn("method", F.lit("Pearson"))
@@ -145,28 +155,76 @@ def q_correlation_test(spark, sf_dir):
     return rounded(a.unionByName(b))
 
 
-@query("check_normality")
+_SCALED = """scaled AS (SELECT project, period,
+  coalesce((similarity - min(similarity) OVER w) / nullif(max(similarity) OVER w - min(similarity) OVER w, 0), 0)
+    AS similarity_normalized,
+  coalesce((f1_macro - min(f1_macro) OVER w) / nullif(max(f1_macro) OVER w - min(f1_macro) OVER w, 0), 0)
+    AS f1_macro_normalized
+FROM paired WINDOW w AS (PARTITION BY project))"""
+_SCALED_COLS = ["similarity_normalized", "f1_macro_normalized"]
+_CRITICAL = ", ".join(f"round({c} / (1 + 4.0 / n - 25.0 / n / n), 3)" for c in (0.576, 0.656, 0.787, 0.918, 1.092))
+
+
+@query("check_normality", _sql(f""", {_SCALED}, {normality_ctes('scaled', _SCALED_COLS)}
+SELECT project, variable, n, {r('w')} AS shapiro_statistic, {r('p')} AS shapiro_p_value, {r('a2')} AS anderson_statistic,
+       CASE WHEN a2 IS NULL THEN CAST([] AS DOUBLE[]) ELSE CAST([{_CRITICAL}] AS DOUBLE[]) END AS anderson_critical_values,
+       CAST([15.0, 10.0, 5.0, 2.5, 1.0] AS DOUBLE[]) AS anderson_significance_levels, is_normal FROM normality"""))
 def q_check_normality(spark, sf_dir):
     p = SE.minmax_scale(paired(spark, sf_dir), ["similarity", "f1_macro"])
     return rounded(ST.check_normality(p, ["similarity_normalized", "f1_macro_normalized"]))
 
 
-@query("qq_points")
+_MEDIAN = "(CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END)"
+
+
+@query("qq_points", _sql(f""", {long_ctes('paired', ['similarity', 'f1_macro'], 'project')},
+{quantile_ctes('ranked', _MEDIAN, 'plot')},
+line AS (SELECT *, avg(x) OVER a AS mx, avg(v) OVER a AS my, covar_pop(x, v) OVER a / var_pop(x) OVER a AS slope,
+                covar_pop(x, v) OVER a / (stddev_pop(x) OVER a * stddev_pop(v) OVER a) AS r
+         FROM plot6 WINDOW a AS (PARTITION BY project, variable))
+SELECT project, variable, i, {r('x')} AS theoretical, {r('v')} AS "ordered",
+       CASE WHEN n > 1 THEN {r('CASE WHEN lo = hi THEN 0 ELSE slope END')} END AS slope,
+       CASE WHEN n > 1 THEN {r('CASE WHEN lo = hi THEN my ELSE my - slope * mx END')} END AS intercept,
+       CASE WHEN n > 1 THEN {r('CASE WHEN lo = hi THEN 0 ELSE r END')} END AS r FROM line"""))
 def q_qq_points(spark, sf_dir):
     return rounded(ST.qq_points(paired(spark, sf_dir), ["similarity", "f1_macro"]))
 
 
-@query("auto_correlation_test")
+def _auto_sql(src: str, x: str, y: str, g: str = "project") -> str:
+    """CTE ``chosen``: the automatic test of ``src`` by ``g``."""
+    flag = "bool_or(is_normal) FILTER (WHERE variable = '{v}')"
+    return f"""{normality_ctes(src, [x, y], g)},
+{_correlations(src, x, y, g)},
+flags AS (SELECT {g}, {flag.format(v=x)} AND {flag.format(v=y)} AS normal FROM normality GROUP BY {g}),
+chosen AS (SELECT {g}, CASE WHEN normal THEN 'Pearson' ELSE 'Spearman' END AS test_method,
+                  CASE WHEN normal THEN pearson.r ELSE spearman.r END AS r, pearson.n AS n
+           FROM flags JOIN pearson USING ({g}) JOIN spearman USING ({g})),
+test_rows AS (SELECT {g}, test_method, {r('r')} AS correlation_coefficient, {r(correlation_p('r', 'n'))} AS p_value,
+                     n AS sample_size, {correlation_p('r', 'n')} < 0.05 AS is_significant,
+                     CAST(0.05 AS DOUBLE) AS significance_level FROM chosen)"""
+
+
+AUTO_TEST_SQL = _sql(f""", {_SCALED}, {_auto_sql('scaled', *_SCALED_COLS)}
+SELECT * FROM test_rows""")
+
+
+@query("auto_correlation_test", AUTO_TEST_SQL)
 def q_auto_correlation_test(spark, sf_dir):
     p = SE.minmax_scale(paired(spark, sf_dir), ["similarity", "f1_macro"])
     return rounded(ST.auto_correlation_test(p, "similarity_normalized", "f1_macro_normalized"))
 
 
-@query("yearly_correlation")
+@query("yearly_correlation", _sql(f""",
+dated AS (SELECT *, TRY_CAST(regexp_extract(period, '(\\d{{4}})', 1) AS INTEGER) AS year FROM paired),
+of_year AS (SELECT * FROM dated QUALIFY count(*) OVER (PARTITION BY project, year) >= 3),
+{_auto_sql('of_year', 'similarity', 'f1_macro', 'project, year')}
+SELECT * FROM test_rows"""))
 def q_yearly_correlation(spark, sf_dir):
     return rounded(ST.yearly_correlation(paired(spark, sf_dir), "similarity", "f1_macro"))
 
 
+# ---- rows-only: a warping path has no SQL form (tested against brute force in tests/)
+
 @query("dtw_align")
 def q_dtw_align(spark, sf_dir):
     return D.dtw_align(paired(spark, sf_dir), "similarity", "f1_macro")
