@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from driftmon.llm.packing import WordTokenizer, best_fit, pack_documents
+from driftmon.llm.packing import WordTokenizer, best_fit, pack_documents, read_ahead, token_pieces
 from driftmon.llm.queries import word_bpe_path
 
 from .conftest import MESSY
@@ -61,7 +61,7 @@ def test_best_fit_bounds_open_bins():
     random.seed(4)
     lengths = [random.randrange(1, 2049) for _ in range(3000)]
     for limit in (1, 16, 512):
-        where, offset = best_fit(lengths, 2048, limit)
+        where, offset, _ = best_fit(lengths, 2048, limit)
         full, last = {}, {}
         for k, (b, o, n) in enumerate(zip(where, offset, lengths, strict=True)):
             assert full.get(b, 0) == o and o + n <= 2048
@@ -70,3 +70,21 @@ def test_best_fit_bounds_open_bins():
         for k in range(len(where)):
             # bins that still get pieces later, and have some, are open
             assert k % 100 or sum(1 for b in last if last[b] > k and b in where[: k + 1]) <= limit
+
+
+def test_stream_of_documents_closes_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.piece, r.length) for r in token_pieces(docs, word_bpe_path()).collect()]
+    rng = np.random.default_rng(3)
+    table = pa.table({"doc_id": [d for d, _, _ in rows], "piece": [p for _, p, _ in rows], "length": [n for _, _, n in rows],
+                      "dealt": rng.integers(-(1 << 62), 1 << 62, len(rows))})
+    least = sum(n for _, _, n in rows) / 2048
+    for ahead, most, slack in ((1, 16, 1.08), (64, 32, 1.08), (256, 64, 1.06)):
+        stream = read_ahead(table, ahead)
+        assert sorted(zip(*(stream[c].to_pylist() for c in ("doc_id", "piece", "length")))) == sorted(rows)
+        place = {d: k for k, d in enumerate(sorted(table["dealt"].to_pylist()))}
+        # a piece leaves its place by less than the look-ahead
+        assert all(abs(place[d] - k) < ahead for k, d in enumerate(stream["dealt"].to_pylist()))
+        where, _, closed = best_fit(stream["length"].to_pylist(), 2048, most)
+        assert closed > 0
+        assert max(where) + 1 <= slack * least + 1
