@@ -43,4 +43,5 @@ def load_all() -> None:
         q_series,
         q_models,
         q_jobs,
+        q_round_trips,
     )
