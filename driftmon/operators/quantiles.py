@@ -69,6 +69,23 @@ def with_quantiles(stats: DataFrame, ordered: DataFrame, keys, names: dict[str,
     return stats.join(renamed, _same(stats, renamed, keys), "left").drop(*(f"_{k}" for k in keys))
 
 
+def rank_rows(df: DataFrame, keys, order, name: str = "rank") -> DataFrame:
+    """``df`` with ``name``: each row's place from 1 in its group by ``order`` (column names), without a task that holds a group.
+
+    One range sort by (keys, order), then the counts of the groups' parts in
+    earlier partitions.  Rows equal in ``order`` take places of their own.  Null
+    keys are a group.  No column may be called ``_at``, ``_part``, ``_first``, ``_k`` or ``_start``.
+    """
+    keys, order = list(keys), list(order)
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
+    runs = written(rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_k")), "runs")
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_k").over(so_far), F.lit(0)) - F.col("_first") + 1
+    placed = join_small(rows, runs.select(*keys, "_part", start.alias("_start")), [*keys, "_part"])
+    return placed.withColumn(name, F.col("_at") + F.col("_start")).drop("_at", "_part", "_start")
+
+
 def ranked_values(ordered: DataFrame, keys) -> DataFrame:
     """keys, v, i, n, mean, m2: every value with its place from 1, and its group's size, mean and squared deviations.
 
@@ -78,14 +95,14 @@ def ranked_values(ordered: DataFrame, keys) -> DataFrame:
     of the new columns.
     """
     keys = list(keys)
-    values = ordered.where("v is not null and not isnan(v)").withColumn("part", F.shiftright("at", 33))
-    runs = written(values.groupBy(*keys, "part").agg(F.min("at").alias("first"), F.count("*").alias("k"), F.avg("v").alias("part_mean"),
-                                                     F.var_pop("v").alias("part_var")), "runs")
-    so_far = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    values = ordered.where("v is not null and not isnan(v)").withColumn("_part", F.shiftright("at", 33))
+    runs = written(values.groupBy(*keys, "_part").agg(F.min("at").alias("_first"), F.count("*").alias("_k"), F.avg("v").alias("_part_mean"),
+                                                     F.var_pop("v").alias("_part_var")), "runs")
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     all_of = Window.partitionBy(*keys)
-    runs = runs.withColumns({"before": F.coalesce(F.sum("k").over(so_far), F.lit(0)), "n": F.sum("k").over(all_of)})
-    runs = runs.withColumn("mean", F.sum(F.col("k") * F.col("part_mean")).over(all_of) / F.col("n"))
-    spread = F.col("k") * (F.col("part_var") + F.pow(F.col("part_mean") - F.col("mean"), 2))
-    runs = runs.withColumn("m2", F.sum(spread).over(all_of)).drop("k", "part_mean", "part_var")
-    placed = join_small(values, runs, [*keys, "part"])
-    return placed.select(*keys, "v", (F.col("at") - F.col("first") + F.col("before") + 1).alias("i"), "n", "mean", "m2")
+    runs = runs.withColumns({"_before": F.coalesce(F.sum("_k").over(so_far), F.lit(0)), "n": F.sum("_k").over(all_of)})
+    runs = runs.withColumn("mean", F.sum(F.col("_k") * F.col("_part_mean")).over(all_of) / F.col("n"))
+    spread = F.col("_k") * (F.col("_part_var") + F.pow(F.col("_part_mean") - F.col("mean"), 2))
+    runs = runs.withColumn("m2", F.sum(spread).over(all_of)).drop("_k", "_part_mean", "_part_var")
+    placed = join_small(values, runs, [*keys, "_part"])
+    return placed.select(*keys, "v", (F.col("at") - F.col("_first") + F.col("_before") + 1).alias("i"), "n", "mean", "m2")

@@ -14,19 +14,22 @@ is uniform, so the ``q``-th smallest value sits near the fraction ``q/N``.
 2. puts a narrow bracket ``[lo, hi)`` of hash fractions around ``q/N``
    (6 standard deviations plus a margin),
 3. counts the rows below and inside the bracket and checks that the ``q``-th
-   row falls inside; a group failing the check (probability ~1e-9) falls back
-   to a full bracket, so the result is always exact,
-4. ranks only the bracket rows (about ``12 sqrt(q)`` per group).
+   row falls inside; a group failing the check (many rows that repeat an id;
+   else about once in 1e9) gets a full bracket, so the result is always exact,
+4. ranks only the bracket rows (about ``12 sqrt(q)`` per group) in a window;
+   if a group got a full bracket, by one range sort over all tasks instead.
 
 Rows below the bracket are selected, rows above it are not.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmon.operators.joins import join_small
+from driftmon.operators.quantiles import rank_rows
 
 _SCALE = float(1 << 60)  # 15 hex digits of the md5
 
@@ -83,15 +86,22 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str | None, s
         .select(*groups, "quota",
                 F.when(F.col("_ok"), F.col("_lo")).otherwise(F.lit(0.0)).alias("_lo"),
                 F.when(F.col("_ok"), F.col("_hi")).otherwise(F.lit(2.0)).alias("_hi"),
-                F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0)).alias("_below"))
+                F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0)).alias("_below"), "_ok")
     )
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)  # one row a group
+    missed = checked.where(~F.col("_ok")).limit(1).count() > 0
+    checked = checked.drop("_ok")
     final = join_small(base, checked, groups, "inner")
     inside = (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
     outside = final.where(~inside).withColumn(flag, F.col("_u") < F.col("_lo"))
     # rows that repeat an id are told apart by their content, so only equal rows tie
-    order = ["_h", *([id_col] if id_col else []), _content_hash(df)]
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    bracket = final.where(inside).withColumn(flag, F.col("_below") + rank <= F.col("quota"))
+    order = ["_h", *([id_col] if id_col else []), "_content"]
+    inner = final.where(inside).withColumn("_content", _content_hash(df))
+    if missed:
+        inner = rank_rows(inner, groups, order, "_rank")
+    else:
+        inner = inner.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    bracket = inner.withColumn(flag, F.col("_below") + F.col("_rank") <= F.col("quota"))
     cols = [*df.columns, flag]
     return outside.select(*cols).unionByName(bracket.select(*cols))
 
