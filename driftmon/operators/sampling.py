@@ -8,7 +8,7 @@ without an id are ordered by the hash of their content.
 Selecting "the first ``q`` rows of each group in that order" must not rank a
 whole group in one task (one class may hold a third of all rows).  The hash
 is uniform, so the ``q``-th smallest value sits near the fraction ``q/N``.
-``select_first`` therefore:
+``select_first`` therefore writes the rows with their hash once, and from there:
 
 1. counts each group (partial aggregate),
 2. puts a narrow bracket ``[lo, hi)`` of hash fractions around ``q/N``
@@ -24,12 +24,12 @@ Rows below the bracket are selected, rows above it are not.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmon.operators.joins import join_small
 from driftmon.operators.quantiles import rank_rows
+from driftmon.sources.scratch import written
 
 _SCALE = float(1 << 60)  # 15 hex digits of the md5
 
@@ -53,17 +53,23 @@ def hash_order(df: DataFrame, id_col: str | None, seed: int) -> tuple[Column, Co
     return h, u
 
 
-def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str | None, seed: int = 42,
+def select_first(df: DataFrame, groups, quotas, id_col: str | None, seed: int = 42,
                  flag: str = "_selected") -> DataFrame:
     """Add boolean ``flag``: row is among the first ``quota`` of its group in hash order.
 
     ``quotas`` holds one row per group with columns ``groups`` + ``quota``
-    (groups missing from it select nothing).  A null class is a class of its own.
+    (groups missing from it select nothing), or is a function that makes it
+    from the class sizes (``groups`` + ``n_class``).  A null class is a class of its own.
+    The rows are written once, so what ``df`` takes to compute is done once.
     """
     groups = list(groups)
     h, u = hash_order(df, id_col, seed)
-    base = df.withColumn("_h", h).withColumn("_u", u)  # the counts below scan only the columns they need
-    sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    # rows that repeat an id are told apart by their content, so only equal rows tie
+    placed = df.withColumns({"_h": h, "_u": u, "_content": _content_hash(df)})
+    base = written(placed, "sample-rows")  # the counts below scan only the columns they need
+    sizes = written(base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), "sample-sizes")
+    if callable(quotas):
+        quotas = quotas(sizes.withColumnRenamed("_n", "n_class"))
     q = F.least(F.col("quota").cast("double"), F.col("_n").cast("double"))
     p = q / F.col("_n")
     spread = (F.lit(6.0) * F.sqrt(F.col("_n") * p * (F.lit(1.0) - p)) + F.lit(24.0)) / F.col("_n")
@@ -88,15 +94,14 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str | None, s
                 F.when(F.col("_ok"), F.col("_hi")).otherwise(F.lit(2.0)).alias("_hi"),
                 F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0)).alias("_below"), "_ok")
     )
-    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)  # one row a group
+    checked = written(checked, "sample-bounds")  # one row a group; the plan below starts from files
     missed = checked.where(~F.col("_ok")).limit(1).count() > 0
     checked = checked.drop("_ok")
     final = join_small(base, checked, groups, "inner")
     inside = (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
     outside = final.where(~inside).withColumn(flag, F.col("_u") < F.col("_lo"))
-    # rows that repeat an id are told apart by their content, so only equal rows tie
     order = ["_h", *([id_col] if id_col else []), "_content"]
-    inner = final.where(inside).withColumn("_content", _content_hash(df))
+    inner = final.where(inside)
     if missed:
         inner = rank_rows(inner, groups, order, "_rank")
     else:
@@ -106,10 +111,6 @@ def select_first(df: DataFrame, groups, quotas: DataFrame, id_col: str | None, s
     return outside.select(*cols).unionByName(bracket.select(*cols))
 
 
-def _class_sizes(df: DataFrame, keys, label_col) -> DataFrame:
-    return df.groupBy(*keys, label_col).agg(F.count(F.lit(1)).alias("n_class"))
-
-
 def _keyed(df: DataFrame, keys):
     """Give key-less calls a constant key so every plan below is keyed."""
     keys = list(keys)
@@ -122,7 +123,10 @@ def sample_per_class(df: DataFrame, label_col: str = "label", id_col: str | None
                      seed: int = 42, keys=()) -> DataFrame:
     """Each class cut to ``min(its size, n)`` rows ("random" strategy)."""
     df, keys, done = _keyed(df, keys)
-    quotas = _class_sizes(df, keys, label_col).withColumn("quota", F.least(F.col("n_class"), F.lit(n)))
+
+    def quotas(sizes):
+        return sizes.withColumn("quota", F.least(F.col("n_class"), F.lit(n)))
+
     return done(select_first(df, [*keys, label_col], quotas, id_col, seed).where("_selected").drop("_selected"))
 
 
@@ -130,9 +134,11 @@ def sample_balanced(df: DataFrame, label_col: str = "label", id_col: str | None
                     seed: int = 42, keys=()) -> DataFrame:
     """Every class cut to ``min(smallest class, n)`` rows."""
     df, keys, done = _keyed(df, keys)
-    sizes = _class_sizes(df, keys, label_col)
     smallest = F.min("n_class").over(Window.partitionBy(*keys))
-    quotas = sizes.withColumn("quota", F.least(smallest, F.lit(n)))
+
+    def quotas(sizes):
+        return sizes.withColumn("quota", F.least(smallest, F.lit(n)))
+
     return done(select_first(df, [*keys, label_col], quotas, id_col, seed).where("_selected").drop("_selected"))
 
 
@@ -159,10 +165,12 @@ def sample_stratified(df: DataFrame, label_col: str = "label", id_col: str | Non
                       seed: int = 42, keys=()) -> DataFrame:
     """``n x classes`` rows in total (at most all rows), keeping class shares."""
     df, keys, done = _keyed(df, keys)
-    sizes = _class_sizes(df, keys, label_col)
     w = Window.partitionBy(*keys)
     total = F.least(F.sum("n_class").over(w), F.count(F.lit(1)).over(w) * F.lit(n))
-    quotas = largest_remainder_quotas(sizes, keys, label_col, total)
+
+    def quotas(sizes):
+        return largest_remainder_quotas(sizes, keys, label_col, total)
+
     return done(select_first(df, [*keys, label_col], quotas, id_col, seed).where("_selected").drop("_selected"))
 
 
@@ -170,10 +178,12 @@ def train_validation_split(df: DataFrame, label_col: str = "label", id_col: str
                            split_size: float = 0.3, seed: int = 42, keys=()) -> DataFrame:
     """Add ``split`` = ``validation`` for ``ceil(split_size x N)`` rows per key, by class share."""
     df, keys, done = _keyed(df, keys)
-    sizes = _class_sizes(df, keys, label_col)
     w = Window.partitionBy(*keys)
     total = F.ceil(F.lit(float(split_size)) * F.sum("n_class").over(w))
-    quotas = largest_remainder_quotas(sizes, keys, label_col, total)
+
+    def quotas(sizes):
+        return largest_remainder_quotas(sizes, keys, label_col, total)
+
     flagged = select_first(df, [*keys, label_col], quotas, id_col, seed, flag="_val")
     return done(flagged.withColumn("split", F.when(F.col("_val"), "validation").otherwise("train")).drop("_val"))
 
