@@ -99,13 +99,24 @@ def test_windows(df: DataFrame, target: tuple[dt.date, dt.date], split_type: str
     also keeps the window starting in the range's last month.  For day windows
     it is strict too (the original selected nothing there).
     """
+    return _where_bounds(df, period_col, _after(target, split_type, rule))
+
+
+def _after(target: tuple[dt.date, dt.date], split_type: str, rule: str):
     s = check_split(split_type, 1)
     end = target[1]
     if rule not in ("similarity", "evaluation"):
         raise ValueError("rule must be 'similarity' or 'evaluation'")
     if rule == "evaluation" and s == "month":
-        return _where_bounds(df, period_col, lambda ws, we: ws >= F.lit(end.replace(day=1)))
-    return _where_bounds(df, period_col, lambda ws, we: ws > F.lit(end))
+        return lambda ws, we: ws >= F.lit(end.replace(day=1))
+    return lambda ws, we: ws > F.lit(end)
+
+
+def train_and_test_windows(df: DataFrame, target: tuple[dt.date, dt.date], split_type: str,
+                           rule: str = "similarity", period_col: str = "period") -> DataFrame:
+    """The rows of :func:`train_windows` and :func:`test_windows` in one frame, each once."""
+    after = _after(target, split_type, rule)
+    return _where_bounds(df, period_col, lambda ws, we: ((ws <= F.lit(target[1])) & (we >= F.lit(target[0]))) | after(ws, we))
 
 
 def _by_key(df: DataFrame, ranges: DataFrame, keys, period_col: str, cond) -> DataFrame:

@@ -66,12 +66,15 @@ def monitor_classifier(windows_df: DataFrame, target, split_type: str, keys=("pr
 
     ``sampling`` cuts the training rows (few-shot runs); without ``id_col``,
     as cleaned issues have none, rows are ordered by their content.  Returns ``(report, predictions, model)``; ``model_path`` saves the fitted model.
+    With a model to fit, the rows of the range and after it are written once for both sides.
     """
     from driftmon.operators import model as M
     from driftmon.operators import report as R
     from driftmon.operators.sampling import sample_training_data
+    from driftmon.sources.scratch import written
 
     if model is None:
+        windows_df = written(windows.train_and_test_windows(windows_df, target, split_type, rule), "monitored-windows")
         train = windows.load_model_frame(windows_df, target, split_type, labels=labels, require_rows=True)
         if sampling:
             train = sample_training_data(train, sampling, label_col="label", id_col=id_col,
@@ -137,7 +140,6 @@ def monitor_text_similarity(texts: DataFrame, target, split_type: str, keys=("pr
     keys = list(keys)
     named = [label_col, *([id_col] if id_col else [])]
     train = windows.train_windows(texts, target, period_col).select(*dict.fromkeys([*keys, period_col, text_col, *named]))
-    train = written(train, "similarity-range")  # split and sample read it several times
     if validation:
         split = SA.train_validation_split(train, label_col, id_col, validation, seed, keys)
         train = split.where("split = 'train'").drop("split")

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmon.operators import sampling as S
+from driftmon.operators import windows as W
+from driftmon.plans import jobs
 
 
 def _counted(spark, df, column):
@@ -33,3 +35,22 @@ def test_sampled_rows_are_computed_once(spark, take):
     assert seen.value == len(rows)
     again = S.sample_balanced(got.select(df.columns), id_col="id", n=4, keys=["project"])
     assert len(_plan(again)) < 20_000 and "udf" not in _plan(again).lower()  # a step's plan starts at written rows
+
+
+@pytest.mark.parametrize("sampling", [None, "balanced"])
+def test_monitored_windows_are_computed_once(spark, sampling):
+    rows = [(f"p{i % 2}", "t", f"{'good' if i // 2 % 2 else 'bad'} {i}", "xy"[i // 2 % 2], f"{2018 + i % 5}_{2018 + i % 5}") for i in range(120)]
+    df, seen = _counted(spark, spark.createDataFrame(rows, "project string, title string, body string, label string, period string"), "body")
+    report, scored, _ = jobs.monitor_classifier(df, W.target_window("year", 2019, 2020), "year", sampling=sampling, samples_per_class=6)
+    assert {r.period: r.support for r in report.where("class = 'accuracy' and project = 'p0'").collect()} == {"2021_2021": 12, "2022_2022": 12, None: 24}
+    assert scored.count() == 48 and seen.value <= len(rows)
+
+
+@pytest.mark.parametrize("rule", ["similarity", "evaluation"])
+def test_train_and_test_windows_in_one_frame(spark, rule):
+    labels = [f"{y}-{m:02d}_{y}-{m:02d}" for y in (2019, 2020, 2021) for m in range(1, 13)] + ["2020-11_2021-02", "not a window", None]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(labels)], "period string, id long")
+    target = W.target_window("month", 2020, 2020, 3, 11)
+    both = {r.id for r in W.train_windows(df, target).collect()} | {r.id for r in W.test_windows(df, target, "month", rule).collect()}
+    got = [r.id for r in W.train_and_test_windows(df, target, "month", rule).collect()]
+    assert sorted(got) == sorted(both) and len(both) == 23
