@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmon.sources.scratch import written
+
 TOKEN_PATTERN = r"\W+"
 
 
@@ -82,8 +84,13 @@ def classifier_pipeline(text_col: str = "text", label_col: str = "label", model_
 
 def fit_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
                    model_type: str = "logistic", **kw) -> PipelineModel:
-    """Fit on the labelled rows; rows without a label teach nothing and are left out here only."""
+    """Fit on the labelled rows; rows without a label teach nothing and are left out here only.
+
+    Their texts and labels are written once: the stages read them one after the
+    other, and the number of tasks follows the bytes they hold.
+    """
     known = train.where(F.col(label_col).isNotNull()).fillna("", [text_col])
+    known = written(known.select(text_col, label_col), "fit-rows")
     return classifier_pipeline(text_col, label_col, model_type, **kw).fit(known)
 
 

@@ -4,6 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from driftmon.operators import model as M
 from driftmon.operators import sampling as S
 from driftmon.operators import windows as W
 from driftmon.plans import jobs
@@ -37,6 +38,15 @@ def test_sampled_rows_are_computed_once(spark, take):
     assert len(_plan(again)) < 20_000 and "udf" not in _plan(again).lower()  # a step's plan starts at written rows
 
 
+def test_a_fit_computes_its_rows_once(spark):
+    rows = [(f"{'good' if i % 2 else 'bad'} word{i % 5}", "ab"[i % 2]) for i in range(40)] + [("x", None), (None, "a")]
+    df, seen = _counted(spark, spark.createDataFrame(rows, "text string, label string"), "text")
+    model = M.fit_classifier(df, num_features=64)
+    assert seen.value <= len(rows)
+    assert {r.text: r.y_pred for r in M.score_classifier(model, spark.createDataFrame(rows[:2], "text string, label string")).collect()} == {
+        "bad word0": "a", "good word1": "b"}
+
+
 @pytest.mark.parametrize("sampling", [None, "balanced"])
 def test_monitored_windows_are_computed_once(spark, sampling):
     rows = [(f"p{i % 2}", "t", f"{'good' if i // 2 % 2 else 'bad'} {i}", "xy"[i // 2 % 2], f"{2018 + i % 5}_{2018 + i % 5}") for i in range(120)]
