@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmon.functions.dates import parsed_once
 from driftmon.sources.tables import read_table
 
 
@@ -98,6 +99,11 @@ def issue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined_month_window():
+    """The order's window behind a step that a filter on windows stays above: labels are parsed for joined rows only."""
+    return parsed_once(_month_window(_order_day()))
+
+
 def _month_window(day):
     month = F.substring(day, 1, 7)
     return F.concat(month, F.lit("_"), month)
@@ -149,7 +155,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(o, e.vec_id == o.o_orderkey).select(
         "vec_id",
         F.concat(F.lit("P"), (F.col("vec_id") % 2).cast("string")).alias("project"),
-        _month_window(_order_day()).alias("period"),
+        _joined_month_window().alias("period"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
 
@@ -173,7 +179,7 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "doc_id",
             F.concat(F.lit("P"), (F.col("doc_id") % 2).cast("string")).alias("project"),
-            _month_window(_order_day()).alias("period"),
+            _joined_month_window().alias("period"),
             F.col("text"),
             F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"),
         )

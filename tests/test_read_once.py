@@ -1,5 +1,6 @@
 """Rows that several steps read are computed once; norms and window labels are not computed over and over."""
 
+import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from driftmon.operators import model as M
 from driftmon.operators import sampling as S
 from driftmon.operators import windows as W
 from driftmon.plans import jobs
+from driftmon.sources import fixtures
 
 
 def _counted(spark, df, column):
@@ -64,3 +66,16 @@ def test_train_and_test_windows_in_one_frame(spark, rule):
     both = {r.id for r in W.train_windows(df, target).collect()} | {r.id for r in W.test_windows(df, target, "month", rule).collect()}
     got = [r.id for r in W.train_and_test_windows(df, target, "month", rule).collect()]
     assert sorted(got) == sorted(both) and len(both) == 23
+
+
+def test_window_labels_are_parsed_for_joined_rows_only(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    days = [(i, dt.datetime(1994 + i % 4, 5, 1)) for i in range(50)]
+    spark.createDataFrame(days, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = W.train_windows(fixtures.labelled_text(spark, str(tmp_path)), W.target_window("year", 1995, 1996))
+    assert sorted((r.doc_id, r.period) for r in rows.collect()) == [
+        (1, "1995-05_1995-05"), (2, "1996-05_1996-05"), (5, "1995-05_1995-05")]
+    lines = _plan(rows).splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join" in x)
+    assert any("RLIKE" in x for x in lines[:join]) and not any("RLIKE" in x for x in lines[join:])
