@@ -46,7 +46,9 @@ def unit_vector(col) -> Column:
     """``v / |v|`` as ``array<double>``; a zero vector stays zero (its cosine is 0)."""
     v = _c(col).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x * 0.0))
+    # the norm is bound to a name, or every element would compute it again
+    return F.get(F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(
+        F.transform(v, lambda x: x * 0.0))), 0)
 
 
 def dot(a, b) -> Column:

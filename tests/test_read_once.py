@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftmon.operators import model as M
 from driftmon.operators import sampling as S
+from driftmon.operators import similarity as SIM
 from driftmon.operators import windows as W
 from driftmon.plans import jobs
 from driftmon.sources import fixtures
@@ -68,6 +69,13 @@ def test_train_and_test_windows_in_one_frame(spark, rule):
     assert sorted(got) == sorted(both) and len(both) == 23
 
 
+def test_unit_vectors_compute_their_norm_once(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None])], "id long, v array<double>")
+    out = df.select("id", SIM.unit_vector("v").alias("u"))
+    assert {r.id: r.u for r in out.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [], 5: [0.0, None]}
+    assert _plan(out).lower().count("sqrt(") == 1
+
+
 def test_window_labels_are_parsed_for_joined_rows_only(spark, tmp_path):
     spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
